@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _exact
+from . import packing as _packing
+from . import plane_store as _planes
 from .common import table
+from .token_ids import vocabulary
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +27,17 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256, CAST(n AS BIGINT) AS n_code_points FROM r
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_exact_dedup": op2_exact_dedup}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack(_packing.tokenised(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+
+
+def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes.read_token_files(_planes.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op6_packing": op6_packing,
+    "op10_token_planes": op10_token_planes,
+}
 SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
