@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _exact
+from . import mixing as _mixing
 from . import packing as _packing
 from . import plane_store as _planes
+from . import simhash as _simhash
+from . import vector_file as _vectors
 from .common import table
 from .token_ids import vocabulary
 
@@ -35,9 +38,38 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _planes.read_token_files(_planes.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op4_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return _vectors.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_cube_mixing": op4_cube_mixing,
+    "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
+    "op9_vector_file": op9_vector_file,
     "op10_token_planes": op10_token_planes,
 }
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op9_vector_file": OP9_SQL}
