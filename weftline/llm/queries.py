@@ -10,6 +10,7 @@ from . import exact_dedup as _exact
 from . import mixing as _mixing
 from . import packing as _packing
 from . import plane_store as _planes
+from . import quality_pu as _quality
 from . import simhash as _simhash
 from . import vector_file as _vectors
 from .common import table
@@ -46,6 +47,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _quality.score(docs, _quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return _vectors.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_cube_mixing": op4_cube_mixing,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
     "op9_vector_file": op9_vector_file,
     "op10_token_planes": op10_token_planes,
 }
