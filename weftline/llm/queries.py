@@ -12,6 +12,8 @@ from . import packing as _packing
 from . import plane_store as _planes
 from . import quality_pu as _quality
 from . import simhash as _simhash
+from . import surrogates as _surrogates
+from . import token_count as _count
 from . import vector_file as _vectors
 from .common import table
 from .token_ids import vocabulary
@@ -39,6 +41,10 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _planes.read_token_files(_planes.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op4_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.score(docs, _quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _surrogates.replace_personal_data(docs, key="weftline")
+
+
 def op9_vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return _vectors.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -72,10 +83,12 @@ SELECT * FROM r WHERE rank <= 5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_counts": op3_token_counts,
     "op4_cube_mixing": op4_cube_mixing,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
+    "op8_surrogates": op8_surrogates,
     "op9_vector_file": op9_vector_file,
     "op10_token_planes": op10_token_planes,
 }
