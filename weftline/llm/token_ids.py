@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+import sys
+from array import array
 
 #: Pieces kept for each vocabulary and worker.
 KEPT = 500_000
@@ -33,12 +34,12 @@ def _byte_letters() -> dict[int, str]:
     return table
 
 
-_LETTER = _byte_letters()
-_FROM_LATIN = {b: c for b, c in _LETTER.items() if chr(b) != c}
+_LETTER = [c for _, c in sorted(_byte_letters().items())]
 
 
-def _letters(text: str) -> str:
-    return text.encode().decode("latin-1").translate(_FROM_LATIN)
+def _letters(word: str) -> str:
+    """The stand-ins of a word's bytes; ASCII letters and signs stand for themselves."""
+    return word if word.isascii() else "".join([_LETTER[b] for b in word.encode()])
 
 
 class _Careful(Exception):
@@ -69,20 +70,23 @@ class ByteLevelIds:
 
     def __init__(self, path: str):
         self.tok = _load(path)
-        self.pieces = _Pieces(self._make)
+        self.pieces, self.tails = _Pieces(self._make), _Pieces(self._merged)
+        self.tails[""] = b""
         self.newline = self._library("\n")
 
     def _library(self, text: str) -> bytes:
         return _packed(self.tok.encode(text, add_special_tokens=False).ids)
 
     def _merged(self, pre: str) -> bytes:
-        return _packed([t.id for t in self.tok.model.tokenize(_letters(pre))])
+        return _packed([t.id for t in self.tok.model.tokenize(pre)])
 
     def _make(self, piece: str) -> bytes:
         lead = piece[:1]
         before, blank, word = (self.newline, "", piece[1:]) if lead == "\n" else (b"", "", piece[1:]) if lead == "\0" else (b"", " ", piece)
         if m := _PLAIN.fullmatch(word):
-            return before + self._merged(blank + m[1]) + (self._merged(m[2]) if m[2] else b"")
+            stem, tail = m.groups()
+            known = self.pieces.get(stem) if blank and tail else None
+            return before + (known or self._merged((_LETTER[32] if blank else "") + _letters(stem))) + self.tails[tail]
         if not word or not word.isprintable() or word[0] in _UNSURE or word[-1] in _UNSURE:
             raise _Careful
         return before + self._library(blank + word)
@@ -113,15 +117,17 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tok = _load(path)
-        self.words = _Pieces(self._word)
-        self.words[""] = b""
+        self.words, self.tails = _Pieces(self._word), _Pieces(self._merged)
+
+    def _merged(self, pre: str) -> bytes:
+        return _packed([t.id for t in self.tok.model.tokenize(pre)]) if pre else b""
 
     def _word(self, piece: str) -> bytes:
         if not piece:
             return b""
         if m := _PLAIN.fullmatch(piece):
-            pre = (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
-            return _packed([t.id for p in pre for t in self.tok.model.tokenize(_letters(p))])
+            stem, tail = m.groups()
+            return (tail and self.words.get(stem) or self._merged(_letters(stem.lower()))) + self.tails[tail]
         return _packed(self.tok.encode(piece, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
@@ -129,7 +135,10 @@ class WordIds:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    words = array("I", ids)
+    if sys.byteorder == "big":
+        words.byteswap()
+    return words.tobytes()
 
 
 def _load(path: str):
