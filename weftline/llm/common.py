@@ -61,3 +61,11 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(w.lower())
         out.append(w)
     return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps now rather than at some later collection."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -12,6 +12,7 @@ from . import packing as _packing
 from . import plane_store as _planes
 from . import quality_pu as _quality
 from . import simhash as _simhash
+from . import suffix_dedup as _suffix
 from . import surrogates as _surrogates
 from . import token_count as _count
 from . import vector_file as _vectors
@@ -19,6 +20,10 @@ from .common import table
 from .token_ids import vocabulary
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ SELECT * FROM r WHERE rank <= 5
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_cube_mixing": op4_cube_mixing,
