@@ -146,3 +146,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _held_out(id_col, folds, fold).alias("held_out"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.select(F.col("doc_id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accept(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold``; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([features(t) for t in batch.column(at).to_pylist()])
+                yield batch.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

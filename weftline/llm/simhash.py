@@ -51,14 +51,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
+    """doc_id, mark (a hash of the text) and fp (the fingerprint's bits as a signed long) of every row."""
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t, width) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["doc_id", "mark", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def blocks_for(n: int, radius: int) -> list[list[int]]:
@@ -188,8 +189,9 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
     """For every row: its fingerprint and its component of near-duplicates.
 
-    Returns ``id_col``, fingerprint (16 lower-case hex digits), component_id: the smallest id that
-    can be reached over links of at most ``radius`` differing bits, itself included. Null and empty
+    Returns ``id_col``, fingerprint (16 lower-case hex digits), component_id (the smallest id that
+    can be reached over links of at most ``radius`` differing bits, itself included), and text_mark
+    (a 64-bit hash that tells rows of one id apart). Null and empty
     texts have fingerprint zero and link like any other. Rows with equal fingerprints are one node,
     so groups of copies cost no more than one text. Null ids have no part in the smallest id; an
     empty table gives an empty result.
@@ -200,4 +202,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
-    return own.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("mark").alias("text_mark"))
