@@ -45,7 +45,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     every = Window.partitionBy()
     by = by.withColumn("level", (share * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    by = by.withColumn("rate", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct((F.col("cap") / F.col("weight")).alias("at"), F.col("level").alias("rate")))).over(every)["rate"])
+    by = by.withColumn("rate", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct((F.col("cap") / F.col("weight")).alias("at"), F.col("source").isNull().alias("none"), "source", F.col("level").alias("rate")))).over(every)["rate"])
     return by.select("source", "source_size", "n_docs", F.least("cap", F.coalesce(F.col("rate") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
