@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh, written
 
-EMAIL = r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+"
-SECRET = r"""(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[ ]{0,3}[=:][ ]{0,3}["'])[^"'\s]{8,}(?=["'])"""
+# A match starts only where a run of its characters starts, and gives nothing back, so that long runs cost one pass.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:[.][A-Za-z0-9-]{1,63}){1,8}"
+SECRET = r"""(?<=["'])(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[ ]{0,3}[=:][ ]{0,3}["'])[^"'\s]{8,}(?=["'])"""
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])[.]){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![.]?\w)"
 CARD = r"(?<![\w.])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![.]?\w)"
 SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
