@@ -228,7 +228,9 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     """
     spark = docs.sparkSession
     found = docs.mapInArrow(_scan(length), "b long, e long, id long, mark int, at long")
-    shared = found.groupBy("b").count().filter("count > 1").select("b")
+    # written, so that the join below has plain exchanges on both sides and can split a hot bucket
+    shared = written(found.groupBy("b").count().filter("count > 1").select("b"), "buckets")
+    release(spark)
     members = written(found.join(shared, "b", "left_semi"), "anchors")
     release(spark)
     extents = members.groupBy("b", "e").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "at")).alias("one"))
