@@ -61,3 +61,36 @@ def test_pipeline_filters_on_awkward_rows(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def word_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    a, b = word_shingles(a), word_shingles(b)
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_pipeline_drops_similar_texts(spark):
+    import random
+
+    r = random.Random(3)
+    texts = []
+    for k in range(60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.choice([60, 100, 200, 400]))]
+        texts.append(" ".join(words))
+        other = list(words)
+        while True:  # edits until the next one would take the pair below the goal
+            step = list(other)
+            step[r.randrange(len(step))] = f"v{r.randrange(10**6)}"
+            if jaccard(texts[-1], " ".join(step)) < (0.8, 0.85, 0.95)[k % 3]:
+                break
+            other = step
+        texts.append(" ".join(other))
+        texts.append(" ".join(words[: len(words) // 2] + [f"u{r.randrange(10**6)}" for _ in words[len(words) // 2 :]]))
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, SF).collect()}
+    places = components(list(range(len(texts))), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    assert len(set(places)) < len(texts) and kept == set(places)
