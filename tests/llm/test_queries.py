@@ -94,3 +94,10 @@ def test_pipeline_drops_similar_texts(spark):
     kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, SF).collect()}
     places = components(list(range(len(texts))), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
     assert len(set(places)) < len(texts) and kept == set(places)
+
+
+def test_near_dedup_keeps_unlike_texts_without_ids(spark):
+    texts = [" ".join(f"{letter}{k}" for k in range(50)) for letter in "abc"]
+    docs = spark.createDataFrame([(None, t, "en", "a", len(t)) for t in [*texts, texts[0]]], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.drop_near_copies, corpus_pipeline.drop_similar):
+        assert sorted(r["text"] for r in stage(spark, docs, SF).collect()) == texts

@@ -186,13 +186,13 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return grouped.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, with_root: bool = False) -> DataFrame:
     """For every row: its fingerprint and its component of near-duplicates.
 
     Returns ``id_col``, fingerprint (16 lower-case hex digits), component_id (the smallest id that
     can be reached over links of at most ``radius`` differing bits, itself included), and text_mark
-    (a 64-bit hash that tells rows of one id apart). Null and empty
-    texts have fingerprint zero and link like any other. Rows with equal fingerprints are one node,
+    (a 64-bit hash that tells rows of one id apart); if asked for, also root (the component's
+    smallest fingerprint, which names it where all its ids are null). Null and empty texts have fingerprint zero and link like any other. Rows with equal fingerprints are one node,
     so groups of copies cost no more than one text. Null ids have no part in the smallest id; an
     empty table gives an empty result.
     """
@@ -201,5 +201,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links(own.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return own.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("mark").alias("text_mark"))
+    named = rooted.join(lowest, "root").select("fp", "component_id", "root")
+    return own.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("mark").alias("text_mark"), *["root"] * with_root)
