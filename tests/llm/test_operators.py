@@ -292,6 +292,19 @@ def test_token_ids_equal_the_library(rows, kind, name):
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == encode.tok.encode(t, add_special_tokens=False).ids
 
 
+def test_token_ids_of_texts_with_nul():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from weftline.llm.token_ids import ByteLevelIds
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, whole = ByteLevelIds(path), Tokenizer.from_file(path)
+    for t in ["a \0b", "\0a", "\0", " \0", "a\n\0b c", "a \0\0b \0b", "x\0 y \n\0"]:
+        ids = encode(t)
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == whole.encode(t, add_special_tokens=False).ids, t
+
+
 def ids_of(name, end):
     from tokenizers import Tokenizer
 
