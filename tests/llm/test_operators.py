@@ -81,6 +81,21 @@ def test_suffix_dedup_keeps_the_rest_and_takes_empty_tables(docs, empty):
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"]
 
 
+def test_suffix_dedup_of_texts_whose_short_hashes_collide(spark):
+    import xxhash
+
+    from weftline.llm.suffix_dedup import remove_repeats
+
+    seen = {}
+    for k in range(10**6):  # two texts that agree in the upper 32 bits of Spark's hash
+        text = hashlib.shake_256(str(k).encode()).hexdigest(150)
+        other = seen.setdefault(xxhash.xxh64_intdigest(text.encode(), 42) >> 32, text)
+        if other != text:
+            break
+    rows = [(None, text, "en", "a", 300), (None, other, "en", "a", 300), (5, text, "en", "a", 300), (-(2**63), "id " + other[:150], "en", "a", 153)]
+    assert got(remove_repeats(spark.createDataFrame(rows, DOCS)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeats(rows, 200)
+
+
 def test_anchors_of_split_texts_cover_all_windows():
     from weftline.llm.suffix_dedup import anchors, buckets
 

@@ -137,14 +137,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     zip_ = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        packed = pa.array([zip_.compress(x.as_buffer()) for x in batch.column(2)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["id", "mark", "packed"])
+        packed = pa.array([zip_.compress(x.as_buffer()) for x in batch.column(3)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["id", "mark", "none", "packed"])
 
 
 def _refined(length: int):
     """Rows (id, mark, packed, todo) to one row for each share of an anchor's windows."""
     names = ["b", "share", "id", "mark", "first", "needed", "places", "full"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -180,7 +180,7 @@ def _refined(length: int):
             if rows:
                 yield flush(parts, rows)
 
-    return run, ", ".join(f"{n} {k}" for n, k in zip(names, ("long", "long", "long", "int", "long", "boolean", "binary", "binary"), strict=True))
+    return run, ", ".join(f"{n} {k}" for n, k in zip(names, ("long", "long", "long", "long", "long", "boolean", "binary", "binary"), strict=True))
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,17 +217,17 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _intervals(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     a, b, c = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int64())], names=["id", "mark", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["id", "mark", "at"])
 
 
 def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     """Runs of repeated windows: id, mark, at (first window times 65536 plus their number).
 
-    ``docs`` has id, mark (tells texts of one id apart) and body (bytes). Rows that agree in all
-    three share their runs.
+    ``docs`` has id, mark (64 bits that tell the texts of one id apart), none (the id is null) and
+    body (bytes). Rows that agree in all four share their runs.
     """
     spark = docs.sparkSession
-    found = docs.mapInArrow(_scan(length), "b long, e long, id long, mark int, at long")
+    found = docs.select("id", "mark", "body").mapInArrow(_scan(length), "b long, e long, id long, mark long, at long")
     # written, so that the join below has plain exchanges on both sides and can split a hot bucket
     shared = written(found.groupBy("b").count().filter("count > 1").select("b"), "buckets")
     release(spark)
@@ -243,14 +243,14 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     texts = packed(docs).join(todo, ["id", "mark"]).select("id", "mark", "packed", "todo")
     run, schema = _refined(length)
     windows = texts.mapInArrow(run, schema).dropDuplicates(["b", "share", "id", "mark", "first"])
-    refined = windows.repartition("b", "share").sortWithinPartitions("b", "share").mapInArrow(_compared, "id long, mark int, at long")
+    refined = windows.repartition("b", "share").sortWithinPartitions("b", "share").mapInArrow(_compared, "id long, mark long, at long")
     out = written(settled.unionByName(refined), "repeats")
     release(spark)
     return out
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    return docs.select("id", "mark", "body").mapInArrow(_pack, "id long, mark int, packed binary")
+    return docs.select("id", "mark", "none", "body").mapInArrow(_pack, "id long, mark long, none boolean, packed binary")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
@@ -263,9 +263,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     an empty result.
     """
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    keyed = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.shiftright(F.xxhash64(F.col(id_col).cast("long"), text_col), 32).cast("int").alias("mark"), body.alias("body")
-    )
+    own = F.col(id_col).cast("long")
+    # the hash skips a null id, so that it tells null from the id in its place
+    keyed = docs.select(F.coalesce(own, F.lit(-(2**63))).alias("id"), F.xxhash64(own, text_col).alias("mark"), own.isNull().alias("none"), body.alias("body"))
     runs = repeated_windows(keyed, length).groupBy("id", "mark").agg(F.collect_list("at").alias("runs"))
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_kept
@@ -276,7 +276,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc_id, packed_, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, none, packed_, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = unzip.decompress(packed_)
                 spans: list[list[int]] = []
                 for a in sorted(at or ()):
@@ -287,9 +287,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                         spans.append([begin, end])
                 edges = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc_id, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) + ((kept,) if with_kept else ()))
+                out.append((None if none else doc_id, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) + ((kept,) if with_kept else ()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * len(kinds), kinds, strict=True)], names=names)
 
-    texts = packed(keyed).join(runs, ["id", "mark"], "left").select("id", "packed", "runs")
+    texts = packed(keyed).join(runs, ["id", "mark"], "left").select("id", "none", "packed", "runs")
     done = texts.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
-    return done.select(F.when(F.col("id") != -(2**63), F.col("id")).alias(id_col), *names[1:])
+    return done.withColumnRenamed("id", id_col)
