@@ -527,3 +527,37 @@ def test_planes_and_damage(tmp_path):
     (tmp_path / "x.planes").write_bytes(body)
     with pytest.raises(Exception):  # noqa: B017
         list(read_planes(uri))
+
+
+def test_merge_rounds_sort_their_runs(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.llm.exact_dedup import digest_table, merge_round, tree_merge
+
+    d = digest_table(spark.range(50).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")))
+    state = d.select("run", "sha", "chk", "nlen", F.struct(F.lit(0).alias("neg_len"), F.lit(False).alias("no_id"), "id", "row").alias("best"), F.lit(1).cast("long").alias("copies"))
+    plan = merge_round(state, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") == 2 and plan.count("Sort [run#") >= 2 and "Python" not in plan
+    out = tree_merge(d, 4, 2)
+    assert out.count() == 50
+
+
+def test_spread_join_deals_hot_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from weftline.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")).filter("k <> 49")
+    top = {r["k"]: (r["n"], r["top"]) for r in groups.collect()}
+    out = common.spread_join(rows, groups, ["k"], "n", 1000).collect()
+    assert len(out) == 1000 and all((r["n"], r["top"]) == top.get(r["k"], (None, None)) for r in out)
+
+
+def test_exact_dedup_of_many_repeated_rows(spark):
+    from weftline.llm.exact_dedup import exact_dedup
+
+    df = spark.createDataFrame([(None if k % 3 else 5, "same text", k) for k in range(3000)] + [(k, f"own {k}", k) for k in range(50)], "doc_id long, text string, row long").repartition(7)
+    out = exact_dedup(df, carry=("text",)).collect()
+    assert len(out) == 3050 and sum(r["kept"] for r in out) == 51 and {r["keep_id"] for r in out if r["text"] == "same text"} == {5} and {r["group_size"] for r in out} == {1, 3000}

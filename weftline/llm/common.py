@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -63,6 +64,29 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+#: Keys that :func:`spread_join` broadcasts at most.
+HOT_KEYS = 10_000
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` with the other columns of ``groups`` (null where no group has the key), no key in one task.
+
+    ``groups`` has one row a key, ``size`` being the number of rows with that key, or more, and
+    ``total`` the sum of all sizes, or more. A key with more than ``total / HOT_KEYS`` rows is hot;
+    as there are fewer than ``HOT_KEYS`` of them, hot groups are broadcast, and their rows are dealt
+    by their place. The rows of all other keys, few of each, are dealt by the key.
+    """
+    values = [c for c in groups.columns if c not in keys]
+    limit = max(1, total // HOT_KEYS)
+    side = lambda df, name: df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.struct(*values).alias(name))
+    hot = F.broadcast(side(groups.filter(F.col(size) > limit), "wl_hot"))
+    rest = side(groups.filter(F.col(size) <= limit), "wl_rest").withColumn("wl_none", F.lit(0).cast("long"))
+    found = rows.join(hot, [F.col(k) == F.col(f"wl_hot_{k}") for k in keys], "left")
+    dealt = found.withColumn("wl_deal", F.when(F.col("wl_hot").isNotNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0)))
+    both = dealt.join(rest, [F.col(k) == F.col(f"wl_rest_{k}") for k in keys] + [F.col("wl_deal") == F.col("wl_none")], "left")
+    return both.select(*rows.columns, F.coalesce("wl_hot", "wl_rest").alias("wl_found")).select(*rows.columns, *[F.col(f"wl_found.{c}").alias(c) for c in values])
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps now rather than at some later collection."""
     import gc
