@@ -1,9 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Labels stay in tables: nothing but one row of totals per round reaches the driver. A round's
-smallest neighbours come from an aggregation that combines before its exchange, and its joins are
-plain equi-joins whose hot keys Spark can split. Every round is written to the shared folder, so a
-lost executor costs at most the current round.
+smallest neighbours come from an aggregation that combines before its exchange and counts each
+node's edges, so that the join back can keep the edges of a node with many out of one task. Every
+round is written to the shared folder, so a lost executor costs at most the current round.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -19,20 +19,20 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row[0], int(row[1] or 0)
 
 
-def _lowest(edges: DataFrame, node: str, other: str) -> DataFrame:
-    return edges.groupBy(F.col(node).alias("u")).agg(F.min(other).alias("m"))
+def _lowest(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _lowest(both, "u", "v").select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = _lowest(both).withColumn("m", F.least("u", "m"))
+    return spread_join(both.filter("v > u"), low, ["u"], "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     # every edge points from the larger to the smaller node here
-    low = _lowest(edges, "u", "v")
-    moved = edges.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = _lowest(edges)
+    moved = spread_join(edges, low, ["u"], "n", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -47,7 +47,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = written(now, "edges")
     seen = _state(now)
     while seen[0]:
-        now = written(_small_star(_large_star(now)), "stars")
+        large = written(_large_star(now, seen[0]), "stars")
+        now = written(_small_star(large, seen[0]), "stars")
         if (state := _state(now)) == seen:
             break
         seen = state

@@ -8,8 +8,9 @@ of distinct fingerprints so that a bucket stays small; every choice finds every
 A bucket is compared bit-sliced: plane i holds bit i of all members, 64 members to a word. The
 differing bits of one member against all others are added, plane by plane, into bit-sliced
 counters, and a block of members is abandoned once every count exceeds the radius. Of the pairs
-found only a spanning forest leaves the task. A bucket above ``TILE`` members is dealt into tiles
-and each pair of tiles becomes a task's group, so no bucket has to fit in one task.
+found only a spanning forest leaves the task. A bucket above ``TILE`` members is cut by the blocks of
+its other bits, and what is still above is dealt into tiles, each pair of which becomes a task's
+group, so no bucket has to fit in one task.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 from .components import connected_components
 
 TILE = 1024
@@ -81,25 +82,31 @@ def within(members: np.ndarray, radius: int) -> np.ndarray:
     padded[:, :n] = bits.T
     planes = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
     own = np.where(bits.T.astype(bool), _ONES, np.uint64(0))
+    telling = np.flatnonzero((bits != bits[:1]).any(axis=0)).tolist()  # a plane on which all agree adds nothing
     levels = max(1, (radius + 1).bit_length())
     out = np.zeros((n, words), np.uint64)
     tail = np.full(words, _ONES)
     if n % 64:
         tail[-1] = np.uint64((1 << (n % 64)) - 1)
+    place = np.arange(n)
+    itself = np.uint64(1) << (place & 63).astype(np.uint64)
     for at in range(0, n, 256):
-        mine = own[:, at : at + 256]
-        shape = (mine.shape[1], words)
+        mine, rows = own[:, at : at + 256], np.arange(min(256, n - at))
+        shape = (len(rows), words)
         counter = [np.zeros(shape, np.uint64) for _ in range(levels)]
-        over = np.broadcast_to(~tail, shape).copy()  # counts beyond the counters, and unused places
-        for k in range(64):
+        # counts beyond the counters, unused places, and a member itself, which must not keep its block alive
+        over = np.broadcast_to(~tail, shape).copy()
+        over[rows, (at + rows) >> 6] |= itself[at + rows]
+        for step, k in enumerate(telling, 1):
             carry = planes[k][None, :] ^ mine[k][:, None]
             for c in range(levels):
                 counter[c], carry = counter[c] ^ carry, counter[c] & carry
             over |= carry
-            if k % 8 == 7 and (over | _exceeds(counter, radius) == _ONES).all():
+            if step % 8 == 0 and (over | _exceeds(counter, radius) == _ONES).all():
                 break
         else:
             out[at : at + 256] = ~(over | _exceeds(counter, radius))
+    out[place, place >> 6] |= itself
     return out
 
 
@@ -156,24 +163,42 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[np.ndarray
         yield held[:, -1]
 
 
+def _rest_masks(bits: list[int], radius: int) -> list[int]:
+    """The bits outside a table's key, cut into radius + 1 blocks: members within the radius agree in one."""
+    rest = [k for k in range(64) if k not in set(bits)]
+    edges = [round(len(rest) * k / (radius + 1)) for k in range(radius + 2)]
+    return [_signed(rest[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _signed(bits: list[int]) -> int:
+    return np.uint64(sum(1 << b for b in bits)).astype(np.int64).item()
+
+
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges (a, b) that join all fingerprints within the radius; ``fps`` holds distinct longs fp."""
-    tables = blocks_for(fps.count(), radius)
-    keys = []
-    for t, bits in enumerate(tables):
-        mask = np.uint64(sum(1 << b for b in bits)).astype(np.int64).item()
-        keys.append(F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("k")))
+    """Edges (a, b) that join all fingerprints within the radius; ``fps`` holds distinct longs fp.
+
+    A bucket above ``TILE`` members is cut into smaller ones by the blocks of its remaining bits; what is
+    still above is dealt into tiles, each pair of tiles being a group.
+    """
+    n = fps.count()
+    tables = blocks_for(n, radius)
+    keys = [F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(bits))).alias("k")) for t, bits in enumerate(tables)]
     rows = fps.select(F.explode(F.array(*keys)).alias("x"), "fp").select("x.t", "x.k", "fp")
-    hot = rows.groupBy("t", "k").count().filter(F.col("count") > TILE).select("t", "k", F.ceil(F.col("count") / TILE).cast("long").alias("tiles"))
-    dealt = rows.join(hot, ["t", "k"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles"))).select(
-        "t", "k", F.explode(F.expr("sequence(0L, tiles - 1)")).alias("other"), "own", "fp"
-    )
-    grouped = dealt.select("t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    hot = rows.groupBy("t", "k").agg(F.count("*").alias("n")).filter(F.col("n") > TILE)
+    marked = spread_join(rows, hot, ["t", "k"], "n", n * len(tables))
+    masks = F.element_at(F.array(*[F.array(*[F.lit(m) for m in _rest_masks(bits, radius)]) for bits in tables]), (F.col("t") + 1).cast("int"))
+    finer = F.transform(masks, lambda m, s: F.struct(s.cast("long").alias("s"), F.col("fp").bitwiseAND(m).alias("k2")))
+    whole = F.array(F.struct(F.lit(-1).cast("long").alias("s"), F.lit(0).cast("long").alias("k2")))
+    cut = marked.withColumn("x", F.explode(F.when(F.col("n").isNull(), whole).otherwise(finer))).select("t", "k", "x.s", "x.k2", "fp")
+    large = cut.filter("s >= 0").groupBy("t", "k", "s", "k2").agg(F.count("*").alias("n")).filter(F.col("n") > TILE)
+    dealt = spread_join(cut, large, ["t", "k", "s", "k2"], "n", n * len(tables) * (radius + 1)).withColumn("tiles", F.coalesce(F.ceil(F.col("n") / TILE).cast("long"), F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles"))).withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
+    names = ["t", "k", "s", "k2", "i", "j"]
+    grouped = dealt.select(*names[:4], F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
 
     def run(batches):
         a, b = [], []
-        for fp in _groups(batches, 4):
+        for fp in _groups(batches, 6):
             fp = np.ascontiguousarray(fp)
             for i, j in forest(fp.view(np.uint64), radius):
                 a.append(int(fp[i]))
@@ -183,7 +208,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return grouped.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j").mapInArrow(run, "a long, b long")
+    return grouped.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, with_root: bool = False) -> DataFrame:
@@ -192,14 +217,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns ``id_col``, fingerprint (16 lower-case hex digits), component_id (the smallest id that
     can be reached over links of at most ``radius`` differing bits, itself included), and text_mark
     (a 64-bit hash that tells rows of one id apart); if asked for, also root (the component's
-    smallest fingerprint, which names it where all its ids are null). Null and empty texts have fingerprint zero and link like any other. Rows with equal fingerprints are one node,
-    so groups of copies cost no more than one text. Null ids have no part in the smallest id; an
-    empty table gives an empty result.
+    smallest fingerprint, which names it where all its ids are null). Null and empty texts have
+    fingerprint zero and link like any other; very long texts count whole. Rows with equal
+    fingerprints are one node, so groups of copies and repeated rows cost no more than one text. Null
+    ids have no part in the smallest id; an empty table gives an empty result. Other columns of
+    ``docs`` are ignored, whatever their names.
     """
     own = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = connected_components(links(own.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id", "root")
-    return own.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("mark").alias("text_mark"), *["root"] * with_root)
+    total = own.count()
+    nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "nodes")
+    roots = connected_components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    rooted = written(nodes.join(roots, "fp", "left").select("fp", "low", "copies", F.coalesce("root", "fp").alias("root")), "roots")
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    named = spread_join(rooted, lowest, ["root"], "n", total).select("fp", "component_id", "root", "copies")
+    found = spread_join(own, named, ["fp"], "copies", total)
+    return found.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("mark").alias("text_mark"), *["root"] * with_root)
