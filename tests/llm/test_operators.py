@@ -297,14 +297,19 @@ def test_components_of_chains_and_stars(spark):
 
 @pytest.mark.parametrize("kind,name", [("byte_level", "byte_bpe_50k.json"), ("words", "word_bpe_49k.json")])
 def test_token_ids_equal_the_library(rows, kind, name):
+    from tokenizers import Tokenizer
+
     from weftline.llm.token_ids import encoder, vocabulary
 
     encode, r = encoder(kind, vocabulary(name)), random.Random(6)
     odd = ["", " ", "\n", "a  b", " x", "x ", "it's we'LL 'tis", "a\x1cb c", "İ ΑΣ ſ", "<|endoftext|> a", "a\r\nb\n\n c", "x " + "y" * 200, "e\n \n\n  f", "\0a", "a.b, c-d... 12 345"]
     odd += ["".join(r.choice("ab éß'\n ,.1\t́İΣ日$　") for _ in range(r.randint(1, 30))) for _ in range(800)]
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", "a", " ", "  ", "\n", "\0", "é", "'ll", ".", "日", "\t", "x" * 70]
+    odd += ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    whole = Tokenizer.from_file(vocabulary(name))
     for t in [x[1] or "" for x in rows[:60]] + odd:
         ids = encode(t)
-        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == encode.tok.encode(t, add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == whole.encode(t, add_special_tokens=False).ids, t
 
 
 def test_token_ids_of_texts_with_nul():
@@ -561,3 +566,22 @@ def test_exact_dedup_of_many_repeated_rows(spark):
     df = spark.createDataFrame([(None if k % 3 else 5, "same text", k) for k in range(3000)] + [(k, f"own {k}", k) for k in range(50)], "doc_id long, text string, row long").repartition(7)
     out = exact_dedup(df, carry=("text",)).collect()
     assert len(out) == 3050 and sum(r["kept"] for r in out) == 51 and {r["keep_id"] for r in out if r["text"] == "same text"} == {5} and {r["group_size"] for r in out} == {1, 3000}
+
+
+def test_repeated_rows_spread_over_bins_and_files(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from weftline.llm import packing, plane_store
+    from weftline.llm.token_ids import vocabulary
+
+    monkeypatch.setattr(packing, "BIN_BYTES", 4000)
+    monkeypatch.setattr(plane_store, "SMALL_BYTES", 4000)
+    df = spark.createDataFrame([(None, f"same words {k % 40}") for k in range(2000)] + [(7, "x y")] * 300 + [(-(2**63), "a")], "doc_id long, text string").repartition(4)
+    ids = packing.tokenised(df, vocabulary("byte_bpe_50k.json"))
+    assert ids.groupBy("bin").count().agg(F.max("count")).first()[0] < 500
+    files = plane_store.write_token_files(df, vocabulary("word_bpe_49k.json"))
+    assert files.count() > 3 and files.agg(F.max("n_docs")).first()[0] < 1500
+    out = sorted(plane_store.read_token_files(files).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == [None] * 2000 + [-(2**63)] + [7] * 300
+    again = sorted(plane_store.read_token_files(plane_store.write_token_files(df.repartition(7), vocabulary("word_bpe_49k.json"))).collect(), key=lambda r: r["start"])
+    assert out == again

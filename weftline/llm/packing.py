@@ -1,8 +1,9 @@
 """Cost-balanced packing of tokenised documents into sequences of a fixed capacity.
 
 The cost of a sequence is estimated as ``linear * tokens + quadratic * sum of squared piece
-lengths`` (attention is within a piece). Documents are dealt into bins by a hash of their id; a bin
-holds a bounded amount of text, whatever the size of the corpus, and is packed by one task:
+lengths`` (attention is within a piece). Documents are dealt into bins by a hash of their id and place; a bin
+holds a bounded amount of text, whatever the size of the corpus and however often a row or an id
+repeats, and is packed by one task:
 
 1. every full capacity's worth of a document becomes a sequence of its own;
 2. the rests, in descending order, each go to the sequence of lowest cost with room for the whole;
@@ -24,6 +25,8 @@ from .token_ids import encoder
 
 #: UTF-8 bytes of text in a bin, about; a bin is one task's group.
 BIN_BYTES = 4 << 20
+#: Bins that one task packs, one after the other, where there are more bins than tasks.
+TASK_BINS = 16
 
 
 def plan(lengths: np.ndarray, capacity: int = 1024, linear: float = 1.0, quadratic: float = 1 / 1024) -> list[tuple[int, int, int, int, int]]:
@@ -60,7 +63,12 @@ def plan(lengths: np.ndarray, capacity: int = 1024, linear: float = 1.0, quadrat
 
 
 def tokenised(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0) -> DataFrame:
-    """doc_id and the ids of each whole text (little-endian 32-bit binary), ended by ``end_id``."""
+    """doc_id, bin, and the ids of each whole text (little-endian 32-bit binary), ended by ``end_id``, dealt by bin.
+
+    A null text counts as empty, an empty one has the end id only; very long texts are encoded whole;
+    repeated rows and null ids are rows like any other; an empty table gives an empty result. Other
+    columns of ``docs`` are ignored, whatever their names.
+    """
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def encode(batches):
@@ -72,8 +80,9 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
     bins = max(1, -(-size // BIN_BYTES))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.octet_length(text)), F.lit(bins)).alias("bin"))
-    return keyed.mapInArrow(encode, "doc_id long, bin long, ids binary")
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.monotonically_increasing_id()), F.lit(bins)).alias("bin"))
+    tasks = min(bins, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bins // TASK_BINS)))
+    return keyed.mapInArrow(encode, "doc_id long, bin long, ids binary").repartition(tasks, "bin")
 
 
 def pack(ids: DataFrame, capacity: int = 1024, linear: float = 1.0, quadratic: float = 1 / 1024, with_ids: bool = False) -> DataFrame:
@@ -81,7 +90,8 @@ def pack(ids: DataFrame, capacity: int = 1024, linear: float = 1.0, quadratic: f
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the piece's ids
     if asked for. Rows with equal ids are packed as separate documents, in the order of their
-    tokens; an empty table has no sequences.
+    tokens; documents without an id come last in their bin; one longer than the capacity fills
+    sequences of its own first; an empty table has no sequences.
     """
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids

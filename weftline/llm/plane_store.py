@@ -35,6 +35,8 @@ from .token_ids import encoder
 MAGIC = b"WEFTPLN1"
 #: Ids in a block; a multiple of 8.
 BLOCK = 1 << 16
+#: UTF-8 bytes of text in a file: at most, about, and at least where there are fewer files than tasks.
+FILE_BYTES, SMALL_BYTES = 256 << 20, 4 << 20
 DOC = np.dtype([("doc_id", "<i8"), ("null", "<u4"), ("n", "<u4")])
 
 
@@ -165,7 +167,10 @@ def write_token_files(
 
     Returns the manifest, written to the shared folder: part, uri, n_docs, n_ids. ``vocabulary`` is
     a file of the word-level kind on every executor. ``end_id`` follows each document's ids. A null
-    text counts as empty; rows with a null id come first; rows with equal ids stand together.
+    text counts as empty; very long texts are encoded whole. Rows with a null id come first; rows with
+    equal ids stand together, in the order of a hash of their text, so that reruns agree and an id that
+    many rows share may span files. An empty table gives an empty manifest. Other columns of ``docs``
+    are ignored, whatever their names.
     """
     folder = folder or scratch(docs.sparkSession, "planes")
 
@@ -180,7 +185,11 @@ def write_token_files(
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "uri": [uri], "n_docs": [writer.n_docs], "n_ids": [writer.n_ids]}, schema=pa.schema([("part", pa.int64()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    size = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))))).first()[0] or 0
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = max(1, -(-size // FILE_BYTES), min(tasks, -(-size // SMALL_BYTES)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    ordered = rows.repartitionByRange(files, "doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "text")
     return written(ordered.mapInArrow(write, "part long, uri string, n_docs long, n_ids long"), "manifest")
 
 

@@ -3,7 +3,9 @@
 Both vocabularies split a text before byte-pair merging, and the split never crosses certain
 places. The text is therefore cut at such places, every distinct piece is encoded once by the
 library, and its ids are kept as little-endian bytes; a document's ids are the joined bytes. The
-kept pieces are bounded: when there are ``KEPT`` of them they are dropped and gathered anew.
+kept pieces are bounded: when there are ``KEPT`` of them they are dropped and gathered anew. Names of
+added tokens in a text get those tokens' ids, as the library does unless told otherwise; no cut falls
+inside one.
 """
 
 from __future__ import annotations
@@ -147,9 +149,7 @@ def _load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # the names of special tokens in a text are ordinary text
-    return tok
+    return Tokenizer.from_file(path)
 
 
 _loaded: dict[tuple[str, str], object] = {}
