@@ -585,3 +585,28 @@ def test_repeated_rows_spread_over_bins_and_files(spark, monkeypatch):
     assert [r["doc_id"] for r in out] == [None] * 2000 + [-(2**63)] + [7] * 300
     again = sorted(plane_store.read_token_files(plane_store.write_token_files(df.repartition(7), vocabulary("word_bpe_49k.json"))).collect(), key=lambda r: r["start"])
     assert out == again
+
+
+def test_suffix_dedup_of_hot_passages_and_repeated_rows(spark, monkeypatch):
+    from weftline.llm import suffix_dedup as S
+
+    monkeypatch.setattr(S, "REFINED", 8)
+    r = random.Random(12)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    passage = noise(260)
+    rows = [(k, noise(r.randint(0, 150)) + passage[r.randint(0, 30) : r.randint(225, 260)] + noise(r.randint(0, 150))) for k in range(150)]
+    rows += [(None, "same row " * 60)] * 300 + [(7, noise(400))] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert got(S.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeats(rows, 200)
+    keyed = df.selectExpr("coalesce(doc_id, -1) id", "xxhash64(doc_id, text) mark", "doc_id is null none", "cast(text as binary) body")
+    runs = S.repeated_windows(keyed, 200).filter("id = -1").collect()
+    assert len(runs) < 100 and max(x["n"] or 0 for x in runs) == 300
+
+
+def test_suffix_dedup_of_many_repeated_rows(spark):
+    from weftline.llm.suffix_dedup import remove_repeats
+
+    text = "".join(random.Random(5).choice("abcdefgh") for _ in range(400))
+    df = spark.range(10_000).selectExpr("if(id % 2 = 0, null, 3L) doc_id", f"'{text}' text")
+    out = remove_repeats(df).groupBy("doc_id", "n_removed", "n_spans").count().collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"], r["n_spans"], r["count"]) for r in out) == [("3", 400, 1, 5000), ("None", 400, 1, 5000)]

@@ -38,12 +38,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/weftline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark deletes a query's shuffle files when it ends, if this is set.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back; this cuts its lineage."""
+    """Write ``df`` as Parquet to the shared folder and read it back; this cuts its lineage.
+
+    The shuffle files of the write go at once, as nothing can need them any more.
+    """
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = scratch(spark, name), spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._weftline_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,11 +106,3 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     dealt = found.withColumn("wl_deal", F.when(F.col("wl_hot").isNotNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0)))
     both = dealt.join(rest, [F.col(k) == F.col(f"wl_rest_{k}") for k in keys] + [F.col("wl_deal") == F.col("wl_none")], "left")
     return both.select(*rows.columns, F.coalesce("wl_hot", "wl_rest").alias("wl_found")).select(*rows.columns, *[F.col(f"wl_found.{c}").alias(c) for c in values])
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps now rather than at some later collection."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -16,12 +16,14 @@ are exchanged, each with the extent of its windows (their first and last bucket
 
 1. q-gram buckets are counted; anchors alone in theirs are settled: their windows are unique.
 2. Within the other buckets, anchors with equal extents settle each other: all windows repeat.
-3. One anchor of each extent left in a mixed bucket is refined to full depth: its windows' buckets
-   are compared within the q-gram bucket. Buckets with many different extents are dealt by the
-   windows' own identifiers, so no bucket has to fit in one task.
-
-Counts combine before their exchanges, joins are equi-joins that Spark can split at hot keys, and
-texts travel compressed.
+3. One anchor of each extent left in a mixed bucket is refined to full depth, and the identifiers
+   of its windows are compared within the q-gram bucket. A bucket with many different extents is
+   dealt into parts of bounded size. What repeats within a part is settled there; a part then sends
+   each of its identifiers once, and those that two parts have in common are settled too. So a
+   passage in any number of surroundings costs a task one part, or one row a part.
+
+Counts combine before their exchanges, joins keep hot keys out of single tasks, texts travel
+compressed, and intermediate tables go as soon as nothing reads them.
 """
 
 from __future__ import annotations
@@ -34,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import discard, spread_join, written
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes handled at once, and windows of a long text handled at once.
 CHUNK, SEGMENT = 1 << 20, 1 << 19
-#: Different extents of one q-gram bucket that one task refines, about.
+#: Different extents of one q-gram bucket that are compared at once, about.
 REFINED = 1024
+#: Rows that a task recalls as sent.
+SENT = 1 << 20
 _POSITION = np.uint64((1 << 21) - 1)
 
 
@@ -132,43 +136,51 @@ def _scan(length: int):
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+def _pack(once: bool):
+    """Rows (id, mark, none, body) with the body compressed; a task sends a row but once if ``once``, as far as it recalls."""
 
-    zip_ = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        packed = pa.array([zip_.compress(x.as_buffer()) for x in batch.column(3)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["id", "mark", "none", "packed"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        zip_, sent = zstandard.ZstdCompressor(level=1), set()
+        for batch in batches:
+            if once:
+                keep = []
+                for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    keep.append(key not in sent)
+                    sent.add(key)
+                if len(sent) > SENT:
+                    sent = set()
+                batch = batch.filter(pa.array(keep, pa.bool_()))
+            body = pa.array([zip_.compress(x.as_buffer()) for x in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], body], names=["id", "mark", "none", "packed"])
+
+    return run
 
 
 def _refined(length: int):
-    """Rows (id, mark, packed, todo) to one row for each share of an anchor's windows."""
-    names = ["b", "share", "id", "mark", "first", "needed", "places", "full"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+    """Rows (id, mark, packed, todo) to one row for each anchor, with the identifiers of its windows."""
+    names = ["b", "part", "parts", "id", "mark", "first", "needed", "full"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
+
+        def flush(parts: list, rows: list) -> pa.RecordBatch:
+            _, full = buckets(np.concatenate(parts), length)
+            out, begin = [], 0
+            for (doc_id, mark, t), piece in zip(rows, parts, strict=True):
+                own = full[begin : begin + (t["at"] & 0xFFFF)]
+                begin += len(piece)
+                out.append((t["b"], t["part"], t["parts"], doc_id, mark, t["at"] >> 16, t["needed"], own.astype("<u8").tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
         for batch in batches:
             parts, held, rows = [], 0, []
-
-            def flush(parts: list, rows: list) -> pa.RecordBatch:
-                _, full = buckets(np.concatenate(parts), length)
-                out, begin = [], 0
-                for (doc_id, mark, t), part in zip(rows, parts, strict=True):
-                    n = t["at"] & 0xFFFF
-                    own = full[begin : begin + n]
-                    begin += len(part)
-                    places = np.arange(n, dtype="<u2")
-                    dealt = own % np.uint64(t["shares"])
-                    for share in np.unique(dealt).tolist():
-                        keep = dealt == share
-                        out.append((t["b"], share, doc_id, mark, t["at"] >> 16, t["needed"], places[keep].tobytes(), own[keep].astype("<u8").tobytes()))
-                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-            for doc_id, mark, packed, todo in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = np.frombuffer(unzip.decompress(packed), np.uint8)
+            for doc_id, mark, packed_, todo in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = np.frombuffer(unzip.decompress(packed_), np.uint8)
                 for t in todo:
                     first, n = t["at"] >> 16, t["at"] & 0xFFFF
                     parts.append(raw[first : first + n + length - 1])
@@ -180,77 +192,96 @@ def _refined(length: int):
             if rows:
                 yield flush(parts, rows)
 
-    return run, ", ".join(f"{n} {k}" for n, k in zip(names, ("long", "long", "long", "long", "long", "boolean", "binary", "binary"), strict=True))
+    return run, ", ".join(f"{n} {k}" for n, k in zip(names, ("long", "long", "long", "long", "long", "long", "boolean", "binary"), strict=True))
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (b, share): the windows of needed anchors that another row has too."""
+    """Rows sorted by (b, part) to rows (w, id, mark, at).
 
-    def settle(group: list[tuple]) -> list[tuple[int, int, int]]:
-        if len(group) < 2:
-            return []
+    Without a w: windows of needed anchors that another anchor of the part has too. With a w: an
+    identifier of a part that is not alone, and where it is, if only one needed anchor has it.
+    """
+    W, ID, MARK, AT = [], [], [], []
+
+    def settle(group: list[tuple]) -> None:
+        parts = group[0][2]
+        if len(group) < 2 and parts < 2:
+            return
         full = [np.frombuffer(r[7], "<u8") for r in group]
-        _, back, count = np.unique(np.concatenate(full), return_inverse=True, return_counts=True)
-        repeated, out, k = count[back] > 1, [], 0
+        value, at, back, count = np.unique(np.concatenate(full), return_index=True, return_inverse=True, return_counts=True)
+        repeated, k, owners = count[back] > 1, 0, []
         for r, own in zip(group, full, strict=True):
-            hits = repeated[k : k + len(own)]
+            hits = np.flatnonzero(repeated[k : k + len(own)])
+            owners += [(r, k)]
             k += len(own)
-            if r[5] and hits.any():
-                at = np.frombuffer(r[6], "<u2")[hits].astype(np.int64)
-                cut = np.flatnonzero(np.diff(at) > 1) + 1
-                out += [(r[2], r[3], (r[4] + int(run[0])) << 16 | len(run)) for run in np.split(at, cut)]
+            if r[6] and len(hits):
+                for run in np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1):
+                    put(None, r[3], r[4], (r[5] + int(run[0])) << 16 | len(run))
+        if parts > 1:
+            place = np.searchsorted([b for _, b in owners], at, side="right") - 1
+            for w, a, n, p in zip(value.view(np.int64).tolist(), at.tolist(), count.tolist(), place.tolist(), strict=True):
+                r, begin = owners[p]
+                put(w, *((r[3], r[4], (r[5] + a - begin) << 16 | 1) if n == 1 and r[6] else (None, None, None)))
+
+    def put(w: int | None, doc_id: int | None, mark: int | None, at: int | None) -> None:
+        W.append(w), ID.append(doc_id), MARK.append(mark), AT.append(at)
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (W, ID, MARK, AT)], names=["w", "id", "mark", "at"])
+        for c in (W, ID, MARK, AT):
+            c.clear()
         return out
 
     group: list[tuple] = []
     for batch in batches:
-        found = []
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if group and group[0][:2] != row[:2]:
-                found += settle(group)
+                settle(group)
                 group = []
             group.append(row)
-        if found:
-            yield _intervals(found)
-    if found := settle(group):
-        yield _intervals(found)
-
-
-def _intervals(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    a, b, c = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["id", "mark", "at"])
+        if W:
+            yield flush()
+    if group:
+        settle(group)
+    yield flush()
 
 
 def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
-    """Runs of repeated windows: id, mark, at (first window times 65536 plus their number).
+    """Runs of repeated windows: id, mark, at (first window times 65536 plus their number), n.
 
     ``docs`` has id, mark (64 bits that tell the texts of one id apart), none (the id is null) and
-    body (bytes). Rows that agree in all four share their runs.
+    body (bytes). Rows that agree in all four share their runs; n is at least their number, or null.
     """
-    spark = docs.sparkSession
     found = docs.select("id", "mark", "body").mapInArrow(_scan(length), "b long, e long, id long, mark long, at long")
-    # written, so that the join below has plain exchanges on both sides and can split a hot bucket
-    shared = written(found.groupBy("b").count().filter("count > 1").select("b"), "buckets")
-    release(spark)
-    members = written(found.join(shared, "b", "left_semi"), "anchors")
-    release(spark)
-    extents = members.groupBy("b", "e").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "at")).alias("one"))
-    extents = written(extents, "extents")
-    settled = members.join(extents.filter("n > 1").select("b", "e"), ["b", "e"], "left_semi").select("id", "mark", "at")
+    found = written(found, "anchors")
+    shared = found.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(spread_join(found, shared, ["b"], "n", found.count()).filter("n is not null").drop("n"), "members")
+    discard(found)
+    total = members.count()
+    extents = written(members.groupBy("b", "e").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "at")).alias("one")), "extents")
+    settled = spread_join(members, extents.filter("n > 1").select("b", "e", "n"), ["b", "e"], "n", total).filter("n is not null")
+    # an anchor of a repeated extent has as many rows here as its text has copies
+    settled = written(settled.groupBy("id", "mark", "at").agg(F.count("*").alias("n")), "settled")
+    discard(members)
     mixed = extents.groupBy("b").agg(F.count("*").alias("k")).filter("k > 1")
-    todo = extents.join(mixed, "b").select("one.id", "one.mark", F.struct(F.col("one.at").alias("at"), "b", F.ceil(F.col("k") / REFINED).cast("long").alias("shares"), (F.col("n") == 1).alias("needed")).alias("t"))
+    todo = spread_join(extents, mixed, ["b"], "k", total).filter("k is not null")
+    parts = F.ceil(F.col("k") / REFINED).cast("long")
+    todo = todo.select("one.id", "one.mark", F.struct(F.col("one.at").alias("at"), "b", F.pmod("e", parts).alias("part"), parts.alias("parts"), (F.col("n") == 1).alias("needed")).alias("t"))
     todo = todo.groupBy("id", "mark").agg(F.collect_list("t").alias("todo"))
-    # rows that agree in all columns give the same windows; one of them is enough
-    texts = packed(docs).join(todo, ["id", "mark"]).select("id", "mark", "packed", "todo")
+    texts = packed(docs, once=True).join(todo, ["id", "mark"]).select("id", "mark", "packed", "todo").dropDuplicates(["id", "mark"])
     run, schema = _refined(length)
-    windows = texts.mapInArrow(run, schema).dropDuplicates(["b", "share", "id", "mark", "first"])
-    refined = windows.repartition("b", "share").sortWithinPartitions("b", "share").mapInArrow(_compared, "id long, mark long, at long")
-    out = written(settled.unionByName(refined), "repeats")
-    release(spark)
-    return out
+    compared = texts.mapInArrow(run, schema).repartition("b", "part").sortWithinPartitions("b", "part").mapInArrow(_compared, "w long, id long, mark long, at long")
+    compared = written(compared, "compared")
+    discard(extents)
+    across = compared.filter("w is not null")
+    common = across.groupBy("w").agg(F.count("*").alias("k")).filter("k > 1")
+    late = across.filter("at is not null").join(common, "w", "left_semi")
+    none = F.lit(None).cast("long").alias("n")
+    return settled.unionByName(compared.filter("w is null").select("id", "mark", "at", none)).unionByName(late.select("id", "mark", "at", none))
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    return docs.select("id", "mark", "none", "body").mapInArrow(_pack, "id long, mark long, none boolean, packed binary")
+def packed(docs: DataFrame, once: bool = False) -> DataFrame:
+    return docs.select("id", "mark", "none", "body").mapInArrow(_pack(once), "id long, mark long, none boolean, packed binary")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
@@ -259,14 +290,17 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     Returns ``id_col``, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and the
     bytes left (``kept``) if asked for. Texts are judged as UTF-8 bytes, a null text as empty; no
     string crosses two texts. Copies of a row count as other places, so repeated rows of at least
-    ``length`` bytes lose everything. Texts shorter than that keep everything; an empty table gives
-    an empty result.
+    ``length`` bytes lose everything. Texts shorter than that keep everything, very long ones are cut
+    into overlapping segments; null ids are rows like any other; an empty table gives an empty result.
+    Other columns of ``docs`` are ignored, whatever their names.
     """
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     own = F.col(id_col).cast("long")
     # the hash skips a null id, so that it tells null from the id in its place
     keyed = docs.select(F.coalesce(own, F.lit(-(2**63))).alias("id"), F.xxhash64(own, text_col).alias("mark"), own.isNull().alias("none"), body.alias("body"))
-    runs = repeated_windows(keyed, length).groupBy("id", "mark").agg(F.collect_list("at").alias("runs"))
+    # a run counts once, however many copies of its row there are
+    runs = repeated_windows(keyed, length).groupBy("id", "mark", "at").agg(F.max("n").alias("n"))
+    runs = written(runs.groupBy("id", "mark").agg(F.collect_list("at").alias("runs"), F.coalesce(F.max("n"), F.lit(1)).alias("n")), "runs")
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_kept
 
@@ -290,6 +324,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 out.append((None if none else doc_id, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) + ((kept,) if with_kept else ()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * len(kinds), kinds, strict=True)], names=names)
 
-    texts = packed(keyed).join(runs, ["id", "mark"], "left").select("id", "none", "packed", "runs")
+    # a hot text has many copies, so that the runs of all hot ones are no larger than HOT_KEYS texts of mean size
+    texts = spread_join(packed(keyed), runs, ["id", "mark"], "n", docs.count()).select("id", "none", "packed", "runs")
     done = texts.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
     return done.withColumnRenamed("id", id_col)
