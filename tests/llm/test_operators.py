@@ -556,7 +556,12 @@ def test_spread_join_deals_hot_keys(spark, monkeypatch):
     rows = spark.range(1000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
     groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")).filter("k <> 49")
     top = {r["k"]: (r["n"], r["top"]) for r in groups.collect()}
-    out = common.spread_join(rows, groups, ["k"], "n", 1000).collect()
+    joined = common.spread_join(rows, groups, ["k"], "n", 1000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = common.spread_join(rows, groups, ["k"], "n", 1000)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"hashpartitioning\(k#\d+L?, wl_deal#\d+L", plan)
+    out = joined.collect()
     assert len(out) == 1000 and all((r["n"], r["top"]) == top.get(r["k"], (None, None)) for r in out)
 
 

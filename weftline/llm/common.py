@@ -101,8 +101,8 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     limit = max(1, total // HOT_KEYS)
     side = lambda df, name: df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.struct(*values).alias(name))
     hot = F.broadcast(side(groups.filter(F.col(size) > limit), "wl_hot"))
-    rest = side(groups.filter(F.col(size) <= limit), "wl_rest").withColumn("wl_none", F.lit(0).cast("long"))
+    rest = side(groups.filter(F.col(size) <= limit), "wl_rest").withColumn("wl_turn", F.xxhash64(*[f"wl_rest_{k}" for k in keys]))
     found = rows.join(hot, [F.col(k) == F.col(f"wl_hot_{k}") for k in keys], "left")
-    dealt = found.withColumn("wl_deal", F.when(F.col("wl_hot").isNotNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0)))
-    both = dealt.join(rest, [F.col(k) == F.col(f"wl_rest_{k}") for k in keys] + [F.col("wl_deal") == F.col("wl_none")], "left")
+    dealt = found.withColumn("wl_deal", F.when(F.col("wl_hot").isNotNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(*keys)))
+    both = dealt.join(rest, [F.col(k) == F.col(f"wl_rest_{k}") for k in keys] + [F.col("wl_deal") == F.col("wl_turn")], "left")
     return both.select(*rows.columns, F.coalesce("wl_hot", "wl_rest").alias("wl_found")).select(*rows.columns, *[F.col(f"wl_found.{c}").alias(c) for c in values])

@@ -41,8 +41,8 @@ from .common import discard, spread_join, written
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes handled at once, and windows of a long text handled at once.
 CHUNK, SEGMENT = 1 << 20, 1 << 19
-#: Different extents of one q-gram bucket that are compared at once, about.
-REFINED = 1024
+#: Different extents of one q-gram bucket that are compared at once, about; some 600 bytes each.
+REFINED = 1 << 15
 #: Rows that a task recalls as sent.
 SENT = 1 << 20
 _POSITION = np.uint64((1 << 21) - 1)
