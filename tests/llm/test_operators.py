@@ -487,13 +487,47 @@ def test_vector_file(spark, monkeypatch):
     assert V.top_k(huge, huge).first()["score"] == 2**63 - 1
 
 
-def test_approximations_bound_scores_and_prune():
-    from weftline.llm.vector_file import ApproximationFile
+def test_approximations_bound_scores():
+    from weftline.llm.vector_file import Approximations
 
     r = np.random.default_rng(4)
-    rows, queries = r.integers(-300, 300, (500, 8)), r.integers(-300, 300, (20, 8))
-    file = ApproximationFile(rows)
-    assert (file.bounds(queries) >= queries @ rows.T - 1e-6).all() and file.cell.max() < 16
+    for bits, dims in ((4, 8), (4, 7), (5, 3)):
+        rows, queries = r.integers(-300, 300, (501, dims)), r.integers(-300, 300, (20, dims))
+        file = Approximations(rows, bits)
+        back = Approximations.unpack(501, dims, *file.pack())
+        low, high = back.bounds(queries)
+        assert (high >= queries @ rows.T).all() and (low <= queries @ rows.T).all() and (high - low).mean() < 100 * 300 * dims and (back.cell == file.cell).all()
+
+
+def test_vector_file_reads_few_exact_vectors(spark, monkeypatch):
+    from weftline.llm import vector_file as V
+
+    monkeypatch.setattr(V, "ROWS", 100)
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(r.normal(size=(2000, 12)))], "vec_id long, embedding array<double>").repartition(3)
+    file = V.write_vectors(df, 5)
+    assert sum(x["n"] for x in file.select("n").collect()) == 2000 and file.count() >= 20
+    ids, mine = np.array([0], np.int64), V.quantised([np.array(df.filter("vec_id = 0").first()["embedding"])], 12, 256.0)
+    found = file.mapInArrow(V._scanner(ids, mine.astype(float), 5), V._FOUND)
+    assert 5 <= found.count() < 1000
+
+
+def test_vector_file_repeated_ids_and_vectors(spark, monkeypatch):
+    from weftline.llm import vector_file as V
+
+    for size in (16384, 3):
+        monkeypatch.setattr(V, "QUERIES", size)
+        rows = [(k, [1.0, 2.0]) for k in range(500)] + [(7, [1.0, 2.0])] * 200 + [(7, [3.0, 0.5]), (7, [-9.0, 0.0]), (600, [9.0, 9.0]), (600, [8.0, 8.0]), (600, [7.5, 8.0]), (50, [0.5, 0.5])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 id", "2 q").repartition(4)
+        out = V.top_k(df, df.filter("vec_id % 50 = 0"), 5)
+        code = {}
+        for i, v in rows:
+            code.setdefault(i, []).append([int(np.floor(256 * x)) for x in v])
+        want = []
+        for q in [i for i in code if i % 50 == 0]:
+            scored = sorted((-max(a[0] * b[0] + a[1] * b[1] for a in code[q] for b in vs), i) for i, vs in code.items() if i != q)
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:5], 1)]
+        assert got(out, "query_id", "rank", "vec_id", "score") == sorted(want, key=str)
 
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])
