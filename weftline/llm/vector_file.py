@@ -2,7 +2,7 @@
 
 Components are quantised to whole numbers, floor(scale * x). The rows are written once, in blocks:
 the exact vectors to files of fixed-size records, and beside them the approximations, for which every
-dimension of a block is cut into cells and a row keeps its cell numbers, a few bits a dimension.
+dimension of a block is cut into cells and a row keeps its cell numbers, eight bits a dimension or fewer.
 
 Queries are taken in chunks of bounded size. A chunk scans the approximations only, all blocks in
 parallel and without a shuffle, and gets a lower and an upper bound of each row's score. The k-th best
@@ -45,7 +45,7 @@ def quantised(vectors: list[np.ndarray], dims: int, scale: float) -> np.ndarray:
 class Approximations:
     """Cell numbers of a block's rows, and the middle and half width of every cell."""
 
-    def __init__(self, rows: np.ndarray, bits: int = 4):
+    def __init__(self, rows: np.ndarray, bits: int = 8):
         n, dims = rows.shape
         cells, values = 1 << bits, rows.astype(float)
         cuts = np.quantile(values, np.linspace(0, 1, cells + 1)[1:-1], axis=0) if n else np.zeros((cells - 1, dims))
@@ -234,8 +234,11 @@ def _valid(df: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFra
     return x.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & finite).dropDuplicates(["id", "v"])
 
 
-def write_vectors(vectors: DataFrame, k: int, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 4) -> DataFrame:
-    """Write the vector-approximation file for searches of up to ``k`` answers; one row for each block."""
+def write_vectors(vectors: DataFrame, k: int, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 8) -> DataFrame:
+    """Write the vector-approximation file for searches of up to ``k`` answers; one row for each block.
+
+    ``bits`` is 8 at most. Four leave a third of all rows open on embeddings of 64 dimensions.
+    """
     rows = _valid(vectors, scale, id_col, vector_col)
     exact = F.forall("v", lambda x: F.abs(x * scale) < 2.0**53)
     same = Window.partitionBy(F.when(exact, F.transform("v", lambda x: F.floor(x * scale))), F.when(~exact, F.col("v"))).orderBy("id")
@@ -272,7 +275,7 @@ def search(file: DataFrame, queries: DataFrame, k: int, scale: float, id_col: st
     return out
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 4) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 8) -> DataFrame:
     """The k rows of ``vectors`` with the highest inner product for each row of ``queries``.
 
     Returns query_id, rank (from 1), vec_id, score. Ties go to the smaller id; a row is no answer
