@@ -410,6 +410,9 @@ def test_quality_edges(docs, rows, empty, spark):
     out = Q.score(docs, model)
     assert out.count() == len(rows) and {r["score"] for r in out.collect()} == {0.5}
     assert Q.score(empty, model).count() == 0 and Q.train(empty, none).prior == 0.5
+    some = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    model = Q.train(docs, some, positives=5, unlabelled=7)
+    assert 0 < model.prior < 1 and Q.score(docs, model).count() == len(rows)
     assert Q.accept(docs, model).columns == docs.columns
     assert not Q.features(None).any() and not Q.features("").any() and np.isfinite(Q.features("a" * 3_000_000)).all()
 
@@ -649,3 +652,52 @@ def test_suffix_dedup_of_many_repeated_rows(spark):
     df = spark.range(10_000).selectExpr("if(id % 2 = 0, null, 3L) doc_id", f"'{text}' text")
     out = remove_repeats(df).groupBy("doc_id", "n_removed", "n_spans").count().collect()
     assert sorted((str(r["doc_id"]), r["n_removed"], r["n_spans"], r["count"]) for r in out) == [("3", 400, 1, 5000), ("None", 400, 1, 5000)]
+
+
+def test_quality_risk_and_its_gradient():
+    from weftline.llm.quality_pu import risk
+
+    r = np.random.default_rng(2)
+    p, u = r.normal(size=(30, 6)) + 0.5, r.normal(size=(50, 6))
+    w = [r.normal(size=(6, 4)), r.normal(size=4), r.normal(size=4), r.normal(size=1)]
+
+    def brute(w, prior):
+        score = lambda x: np.tanh(x @ w[0] + w[1]) @ w[2] + w[3]
+        loss = lambda z: 1 / (1 + np.exp(z))
+        return prior * loss(score(p)).mean(), loss(-score(u)).mean() - prior * loss(-score(p)).mean()
+
+    seen, plain = set(), u
+    for prior in (0.2, 0.5, 0.99):
+        for far in (False, True):  # unlabelled rows with the lowest scores of all make the negative part negative
+            u = plain if not far else -3 * np.sign(w[0] @ w[2])[None, :].repeat(50, 0)
+            positive, negative, grads = risk(w, p, u, prior)
+            assert (positive, negative) == pytest.approx(brute(w, prior))
+            seen.add(negative >= 0)
+            target = (lambda w: sum(brute(w, prior))) if negative >= 0 else (lambda w: -brute(w, prior)[1])  # noqa: B023
+            for k, g in enumerate(grads):
+                for at in list(np.ndindex(w[k].shape))[:5]:
+                    a, b = [x.copy() for x in w], [x.copy() for x in w]
+                    a[k][at] += 1e-5
+                    b[k][at] -= 1e-5
+                    assert g[at] == pytest.approx((target(a) - target(b)) / 2e-5, abs=1e-6)
+    assert seen == {True, False}
+
+
+def test_prior_of_positives_and_unlabelled():
+    from weftline.llm.quality_pu import estimate_prior
+
+    r = np.random.default_rng(3)
+    good, bad = (lambda n: r.normal(1.5, 1, (n, 5))), (lambda n: r.normal(-1.5, 1, (n, 5)))
+    for prior in (0.2, 0.5, 0.8):
+        n = int(2000 * prior)
+        mixed = np.concatenate([good(n), bad(2000 - n)])[r.permutation(2000)]
+        assert abs(estimate_prior(good(800), mixed) - prior) < 0.07
+    assert estimate_prior(good(3), bad(5)) == 0.5
+
+
+def test_quality_of_an_id_with_many_rows(spark):
+    from weftline.llm import quality_pu as Q
+
+    docs = spark.createDataFrame([(0, f"some words of row {k} and more") for k in range(3000)] + [(k, "x " * k) for k in range(1, 50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(50)], "doc_id long, quality int, toxic int")
+    assert Q.score(docs, Q.train(docs, labels, positives=20, unlabelled=30)).count() == 3049
