@@ -451,6 +451,101 @@ def test_surrogates(spark):
     assert replace_personal_data(spark.createDataFrame([], "doc_id long, text string"), "key").count() == 0
 
 
+def brute_surrogates(rows, table):
+    """Texts with entities replaced by a table {(kind, canon): surrogate}, one match after the other."""
+    import regex
+
+    from weftline.llm import surrogates as S
+
+    kinds = [("email", S.EMAIL), ("ip", S.IP), ("ssn", S.SSN), ("card", S.CARD), ("phone", S.PHONE), ("name", S.NAME), ("secret", r"[\s\S]*")]
+    genders = {c: k for (k, c) in sorted(table, reverse=True) if k in ("given_m", "given_f")}
+
+    def cased(mention, new):
+        if mention == mention.upper() and len(mention) > 1:
+            return new.upper()
+        return new if mention == mention.lower() else "".join(c.upper() if k < len(mention) and mention[k].isupper() else c for k, c in enumerate(new))
+
+    def name(mention, known):
+        title = regex.match(S.TITLE, mention)[0]
+        gender = "given_m" if regex.match(rf"(?:{S._MALE})(?![\w-])", title) else "given_f" if regex.match(rf"(?:{S._FEMALE})(?![\w-])", title) else "given_u"
+        words, out = mention[len(title) + 1 :].split(" "), [title]
+        for k, w in enumerate(words):
+            if w[0].isupper():
+                kind = "family" if k == len(words) - 1 else gender if gender != "given_u" else genders.get(w.lower(), "given_u")
+                known.setdefault(w.lower(), set()).add(("given_u" if kind != "family" and gender == "given_u" else kind, table[kind, w.lower()]))
+                w = cased(w, table[kind, w.lower()])
+            out.append(w)
+        return " ".join(out)
+
+    def digits(mention, new):
+        it = iter(new)
+        return "".join(next(it) if c in "0123456789" else c for c in mention) + "".join(it)
+
+    out = []
+    for text in rows:
+        known, n, parts, at = {}, 0, [], 0
+        for m in regex.finditer(S.FOUND, text):
+            kind = next(k for k, rx in kinds if regex.fullmatch(rx, m[0]))
+            parts += [(False, text[at : m.start()])]
+            at, n = m.end(), n + 1
+            if kind == "name":
+                new = name(m[0], known)
+            else:
+                canon = regex.sub("[^0-9]", "", m[0]) if kind in S.DIGITS else m[0].lower() if kind == "email" else m[0]
+                new = digits(m[0], table[kind, canon]) if kind in S.DIGITS else cased(m[0], table[kind, canon]) if kind == "email" else table[kind, canon]
+            parts += [(True, new)]
+        parts += [(False, text[at:])]
+        done = []
+        for fixed, part in parts:
+            for t in [part] if fixed else regex.findall(S._TOKEN, part):
+                if not fixed and t[:1].isupper() and t.lower() in known:
+                    t, n = cased(t, min(known[t.lower()])[1]), n + 1
+                done.append(t)
+        out.append(("".join(done), n))
+    return out
+
+
+def test_surrogates_equal_brute_force(spark):
+    from weftline.llm import surrogates as S
+
+    r = random.Random(21)
+    titles = ["Mr", "Mr.", "Mrs.", "Ms", "Herr", "Herr Dr.", "Frau", "Dr.", "Prof. Dr.", "господин", "госпожа", "κύριος", "Mme"]
+    given, family = ["John", "Anna", "Jean-Luc", "Zoë", "Иван", "Анна", "Γιώργος", "Al"], ["Smithson", "O'Brien", "von Berg", "Müller", "Иванова", "Παπαδόπουλος", "Li", "SMITH"]
+    other = ["a.b@ex.com", "A.B@EX.com", "10.0.0.1", "4111 1111 1111 1111", "+49 30 1234 5678", "(030) 123 4567", "123-45-6789", 'token = "abcdef123456"', "the", "The", "word", "Smithsonian", "John", "said", "é", "2024", "1.2.3", "\n", "x@", "Mr", "Dr."]
+
+    def piece():
+        k = r.random()
+        if k < 0.25:
+            return " ".join([r.choice(titles), *([r.choice(given)] if r.random() < 0.6 else []), r.choice(family)])
+        return r.choice(given) + " " + r.choice(family) if k < 0.4 else r.choice([*given, *family]) + r.choice(["", "'s", ","]) if k < 0.5 else r.choice(other)
+
+    texts = ["".join(piece() + r.choice([" ", ", ", ". "]) for _ in range(r.randint(0, 12))) for _ in range(250)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = df.selectExpr("doc_id row", f"posexplode(regexp_extract_all(text, {S._literal(S.FOUND)}, 0)) as (pos, mention)")
+    units = S._units(found.withColumn("kind", S.kind_of(found["mention"]))).filter("kind <> 'as_is'").select("kind", "canon").distinct().collect()
+    sure = {(k, c) for k, c in units if k != "given_u"}
+    known = {c for k, c in sure if k.startswith("given")}
+    every = sure | {(k, c) for k, c in units if c not in known}
+    table = {(x["kind"], x["canon"]): x["surrogate"] for x in S.surrogate_table(spark.createDataFrame(sorted(every), "kind string, canon string"), "key").collect()}
+    assert set(table) == every and len(set(table.values())) == len(table)
+    got_rows = sorted((x["doc_id"], x["text"], x["n_entities"]) for x in S.replace_personal_data(df, "key").collect())
+    assert got_rows == [(k, t, n) for k, (t, n) in enumerate(brute_surrogates(texts, table))]
+
+
+def test_surrogates_keep_who_is_who(spark):
+    from weftline.llm.surrogates import replace_personal_data
+
+    r = random.Random(2)
+    names = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3)).capitalize() for _ in range(60)]
+    names = sorted(set(names))[:50]
+    texts = [f"Mr {g} Smithson came. {g} Smithson spoke, {g} left; Dr Smithson and SMITHSON stayed." for g in names]
+    out = [x["text"] for x in replace_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    got = [re.fullmatch(r"Mr (\w+) (\w+) came[.] (\w+) (\w+) spoke, (\w+) left; Dr (\w+) and (\w+) stayed[.]", t).groups() for t in out]
+    assert {g[1] for g in got} == {got[0][1]} and len({g[0] for g in got}) == len(names) and got[0][1] != "Smithson"
+    assert all(a == c == e and b == d == f and h == b.upper() for a, b, c, d, e, f, h in got)
+    assert not {g[0] for g in got} & set(names)
+
+
 def test_surrogates_stay_distinct(spark):
     from weftline.llm.surrogates import surrogate_table
 

@@ -65,7 +65,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _surrogates.replace_personal_data(docs, key="weftline")
+    return _surrogates.replace_personal_data(docs, key=spark.conf.get("weftline.surrogate.key", "weftline"))  # set a secret of your own
 
 
 def op9_vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
