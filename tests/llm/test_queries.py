@@ -101,3 +101,23 @@ def test_near_dedup_keeps_unlike_texts_without_ids(spark):
     docs = spark.createDataFrame([(None, t, "en", "a", len(t)) for t in [*texts, texts[0]]], "doc_id long, text string, lang string, source string, n_chars long")
     for stage in (corpus_pipeline.drop_near_copies, corpus_pipeline.drop_similar):
         assert sorted(r["text"] for r in stage(spark, docs, SF).collect()) == texts
+
+
+def test_rows_that_clash_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    texts = [" ".join(f"w{k}x{j}" for j in range(30 + k)) for k in range(60)]
+    rows = [(k, t, "en", s, len(t), "extra") for k, t in enumerate(texts) for s in ("s1", "s2")] + [(None, "", None, None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, wl_key string").repartition(3)
+    from weftline.llm.mixing import mix
+
+    want = {r["source"]: r["n"] for r in mix(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    size = F.size(F.split("text", " "))
+    got = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum(size).alias("n")).collect()}
+    assert mixed.columns == docs.columns and got.keys() == {"s1", "s2"} and all(abs(got[s] - want[s]) <= 2 * 90 for s in got)
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, corpus_pipeline.mix_sources(spark, docs.repartition(5), SF).collect()))
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_similar, corpus_pipeline.drop_near_copies):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() == len({(t, None if i is None else "x") for i, t, *_ in rows})
+    assert corpus_pipeline.pack_sequences(spark, docs, SF).count() >= len(rows)

@@ -119,21 +119,27 @@ def _mover(last: bool):
     return run
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
     """How often each row is taken so that sources meet their targets.
 
-    Returns ``id_col``, source, size, source_size, target, repeats, taken (size times repeats) and
-    text_mark (a 64-bit hash that tells rows of one id apart) for every row. Null and empty texts have size 0 and take nothing; a null source is a source of its
-    own; repeated rows are rows of their own; an empty table gives an empty result.
+    Returns ``id_col``, source, size, source_size, target, repeats, taken (size times repeats),
+    text_mark (a 64-bit hash that tells rows of one id apart) and the long columns ``carry`` of
+    ``docs`` for every row. Null and empty texts have size 0 and take nothing; very long texts are
+    rows like any other; a null source is a source of its own; repeated rows are rows of their own,
+    interchangeable ones; an empty table gives an empty result. Other columns are ignored.
+
+    The whole part of a rate and the flight's inclusion probabilities are kept; of each source, up to
+    ``LANDING`` + 2 documents are settled by the landing instead, which takes the outcome nearest to
+    their expected words, so that their own probabilities aren't kept.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark"), *carry)
     own = written(own, "sizes")
     goal = written(targets(own, weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     known = F.broadcast(goal) if goal.count() <= 10_000 else goal
     rows = own.join(known, own["source"].eqNullSafe(known["source"])).select(
         "doc_id", "mark", own["source"], "size", "source_size", "target", F.floor(rate).cast("long").alias("base"), (rate - F.floor(rate)).alias("p"),
-        F.ceil(F.col("n_docs") / BLOCK).cast("long").alias("blocks"), F.xxhash64(F.lit(seed), "doc_id", "mark").alias("draw"),
+        F.ceil(F.col("n_docs") / BLOCK).cast("long").alias("blocks"), F.xxhash64(F.lit(seed), "doc_id", "mark", *carry).alias("draw"), *carry,
     )
     schema, settled = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), None
     state = rows.withColumn("p", F.when(F.col("size") == 0, F.lit(0.0)).otherwise(F.col("p")))
@@ -150,4 +156,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         state = moved.filter("p > 0 and p < 1").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("blocks") * 4 / BLOCK)).cast("long"))
         most_blocks = state.agg(F.max("blocks")).first()[0] or 1
     repeats = F.col("base") + F.col("p").cast("long")
-    return settled.select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"), F.col("mark").alias("text_mark"))
+    return settled.select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"), F.col("mark").alias("text_mark"), *carry)

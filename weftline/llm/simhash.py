@@ -51,16 +51,25 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """doc_id, mark (a hash of the text) and fp (the fingerprint's bits as a signed long) of every row."""
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit majority fingerprint of distinct shingle hashes, as an unsigned number."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 15):
+        ones += np.unpackbits(hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, mark (a hash of the text), the long columns ``carry`` and fp (the fingerprint's bits as a signed long) of every row."""
+    names = ["doc_id", "mark", *carry, "fp"]
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t, width) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["doc_id", "mark", "fp"])
+            fp = np.array([fingerprint(t, width) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), *carry, F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def blocks_for(n: int, radius: int) -> list[list[int]]:
@@ -211,19 +220,19 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return grouped.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, with_root: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, with_root: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """For every row: its fingerprint and its component of near-duplicates.
 
     Returns ``id_col``, fingerprint (16 lower-case hex digits), component_id (the smallest id that
     can be reached over links of at most ``radius`` differing bits, itself included), and text_mark
-    (a 64-bit hash that tells rows of one id apart); if asked for, also root (the component's
-    smallest fingerprint, which names it where all its ids are null). Null and empty texts have
+    (a 64-bit hash that tells rows of one id apart), and the long columns ``carry`` of ``docs``; if asked
+    for, also root (the component's smallest fingerprint, which names it where all its ids are null). Null and empty texts have
     fingerprint zero and link like any other; very long texts count whole. Rows with equal
     fingerprints are one node, so groups of copies and repeated rows cost no more than one text. Null
     ids have no part in the smallest id; an empty table gives an empty result. Other columns of
     ``docs`` are ignored, whatever their names.
     """
-    own = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    own = written(fingerprints(docs, id_col, text_col, width, carry), "fingerprints")
     total = own.count()
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "nodes")
     roots = connected_components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
@@ -231,4 +240,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
     named = spread_join(rooted, lowest, ["root"], "n", total).select("fp", "component_id", "root", "copies")
     found = spread_join(own, named, ["fp"], "copies", total)
-    return found.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("mark").alias("text_mark"), *["root"] * with_root)
+    return found.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("mark").alias("text_mark"), *["root"] * with_root, *carry)
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Near-duplicates by a similarity in place of a radius: see :mod:`.shingle_near`, which compares fingerprints by :func:`within`."""
+    from .shingle_near import near_roots
+
+    return near_roots(docs, id_col, text_col, least, width, carry)
