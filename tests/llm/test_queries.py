@@ -121,3 +121,26 @@ def test_rows_that_clash_are_told_apart(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() == len({(t, None if i is None else "x") for i, t, *_ in rows})
     assert corpus_pipeline.pack_sequences(spark, docs, SF).count() >= len(rows)
+
+
+@pytest.mark.parametrize("tile", [512, 8])
+def test_similarity_in_large_groups_equals_brute_force(spark, monkeypatch, tile):
+    import random
+
+    from weftline.llm import shingle_near, simhash
+
+    monkeypatch.setattr(shingle_near, "TILE", tile)
+    r = random.Random(17)
+    bases = [[f"w{r.randrange(10**6)}" for _ in range(120)] for _ in range(4)]
+    texts = []
+    for k in range(160):
+        words = list(bases[k % 4])
+        for _ in range(r.randint(0, 6)):
+            words[r.randrange(120)] = f"v{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [texts[3]] * 20 + ["", None, "one two", "two words", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {x["doc_id"]: x["root"] for x in simhash.similar(docs).collect()}
+    places = components(list(range(len(texts))), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    assert len({(places[k], got[k]) for k in got}) == len(set(places)) == len(set(got.values())) and len(got) == len(texts)
+    assert simhash.similar(docs.limit(0)).count() == 0
