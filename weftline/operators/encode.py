@@ -2,7 +2,8 @@
 
 Order is a dense row number. Deltas and running sums are windows within blocks of rows; a block's
 first value is joined to the last value of the block before it, over a summary with one row for
-each block. No window spans a whole table, so the parallelism follows the number of blocks.
+each block. That summary is itself cut into blocks of blocks, so that no window spans more rows
+than a block has, but for one over a row for each ``BLOCK_ROWS ** 2`` rows.
 """
 
 from __future__ import annotations
@@ -21,11 +22,29 @@ def _blocked(df: DataFrame, order: str, block_rows: int) -> DataFrame:
     return df.withColumn("wl_block", F.floor(F.col(order) / block_rows))
 
 
+def previous(summary: DataFrame, block: str, value: str, out: str, over: int = BLOCK_ROWS) -> DataFrame:
+    """(block, out): the value of the block before, over a row for each block."""
+    rows = summary.select(block, value, F.floor(F.col(block) / over).alias("wl_super"))
+    ends = rows.groupBy("wl_super").agg(F.max_by(value, block).alias("wl_last"))
+    ends = ends.select("wl_super", F.lag("wl_last").over(Window.orderBy("wl_super")).alias("wl_from"))  # a row for each block of blocks
+    within = F.lag(value).over(Window.partitionBy("wl_super").orderBy(block))
+    first = F.row_number().over(Window.partitionBy("wl_super").orderBy(block)) == 1
+    return rows.withColumn("wl_within", within).withColumn("wl_first", first).join(ends, "wl_super").select(block, F.when(F.col("wl_first"), F.col("wl_from")).otherwise(F.col("wl_within")).alias(out))
+
+
+def sum_before(summary: DataFrame, block: str, value: str, out: str, over: int = BLOCK_ROWS) -> DataFrame:
+    """(block, out): the sum of the values of all blocks before, over a row for each block."""
+    rows = summary.select(block, value, F.floor(F.col(block) / over).alias("wl_super"))
+    sums = rows.groupBy("wl_super").agg(F.sum(value).alias("wl_sum_of"))
+    all_before = lambda v, w: F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("wl_super", all_before("wl_sum_of", Window.orderBy("wl_super")).alias("wl_from"))  # a row for each block of blocks
+    return rows.withColumn("wl_within", all_before(value, Window.partitionBy("wl_super").orderBy(block))).join(sums, "wl_super").select(block, (F.col("wl_within") + F.col("wl_from")).alias(out))
+
+
 def delta_encode(df: DataFrame, order: str, value: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds delta (the first row has its value) and varint_len."""
     rows = _blocked(df, order, block_rows)
-    ends = rows.groupBy("wl_block").agg(F.max_by(value, order).alias("wl_end"))
-    before = ends.select("wl_block", F.lag("wl_end").over(Window.orderBy("wl_block")).alias("wl_before"))  # a row for each block
+    before = previous(rows.groupBy("wl_block").agg(F.max_by(value, order).alias("wl_end")), "wl_block", "wl_end", "wl_before")
     prev = F.coalesce(F.lag(value).over(Window.partitionBy("wl_block").orderBy(order)), "wl_before")
     out = rows.join(before, "wl_block").withColumn("delta", F.coalesce(F.col(value) - prev, F.col(value)))
     return out.withColumn("varint_len", varint_len(F.col("delta"))).drop("wl_block", "wl_before")
@@ -34,8 +53,7 @@ def delta_encode(df: DataFrame, order: str, value: str, block_rows: int = BLOCK_
 def delta_decode(df: DataFrame, order: str, delta: str = "delta", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds decoded, the running sum of the deltas."""
     rows = _blocked(df, order, block_rows)
-    sums = rows.groupBy("wl_block").agg(F.sum(delta).alias("wl_sum"))
-    base = sums.select("wl_block", F.coalesce(F.sum("wl_sum").over(Window.orderBy("wl_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("wl_base"))
+    base = sum_before(rows.groupBy("wl_block").agg(F.sum(delta).alias("wl_sum")), "wl_block", "wl_sum", "wl_base")
     within = F.sum(delta).over(Window.partitionBy("wl_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.join(base, "wl_block").withColumn("decoded", (within + F.col("wl_base")).cast("long")).drop("wl_block", "wl_base")
 
@@ -52,23 +70,31 @@ def bitmap_unpack(packed: DataFrame, rows: int) -> DataFrame:
     return bits.select((F.col("base") + F.col("k")).alias("row_id"), (F.expr("shiftright(byte, k)").bitwiseAND(F.lit(1)) == 1).alias("flag")).filter(F.col("row_id") < rows)
 
 
-def dictionary(df: DataFrame, value: str, keys: tuple[str, ...] = (), cap: int | None = None) -> DataFrame:
-    """(keys, value, freq, code): distinct values by frequency, ties by value; codes from 0."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("freq"))
+def dictionary(df: DataFrame, value: str, keys: tuple[str, ...] = (), cap: int | None = ENUM_CODES) -> DataFrame:
+    """(keys, value, freq, code): the ``cap`` most frequent distinct values, ties by value; codes from 0; null has none."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("freq"))
     w = Window.partitionBy(*keys).orderBy(F.desc("freq"), F.asc(value))
-    out = counts.select(*keys, F.col(value).alias("value"), "freq", (F.row_number().over(w) - 1).alias("code"))
-    return out.filter(F.col("code") < cap) if cap else out
+    out = counts.select(*keys, F.col(value).alias("value"), "freq", F.row_number().over(w).alias("wl_rank"))
+    out = out.filter(F.col("wl_rank") <= cap) if cap else out  # known to the window, which then keeps that many rows only
+    return out.select(*keys, "value", "freq", (F.col("wl_rank") - 1).alias("code"))
 
 
 def dict_encode(df: DataFrame, value: str, codes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Adds code. A dictionary has at most ``ENUM_CODES`` entries for each key, hence the broadcast."""
+    """Every row with code, null where its value has none, and literal, the value where that is so.
+
+    Without keys a dictionary has ``ENUM_CODES`` entries at most, hence the broadcast. A null value has
+    neither a code nor a literal, and null keys have no dictionary.
+    """
     entries = codes.filter(F.col("code") < ENUM_CODES).select(*keys, F.col("value").alias(value), "code")
-    return df.join(F.broadcast(entries) if not keys else entries, [*keys, value])
+    out = df.join(F.broadcast(entries) if not keys else entries, [*keys, value], "left")
+    return out.withColumn("literal", F.when(F.col("code").isNull(), F.col(value)))
 
 
 def dict_decode(df: DataFrame, codes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The inverse of :func:`dict_encode`: every row with value."""
     entries = codes.filter(F.col("code") < ENUM_CODES).select(*keys, "code", "value")
-    return df.join(F.broadcast(entries) if not keys else entries, [*keys, "code"])
+    out = df.join(F.broadcast(entries) if not keys else entries, [*keys, "code"], "left")
+    return out.withColumn("value", F.coalesce("value", "literal"))
 
 
 def string_cost(long: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def run_lengths(df: DataFrame, order: str, value: Column, block_rows: int = 1 <<
     """(run_len, n): lengths of runs of equal values along the order.
 
     Runs are found within blocks; runs that touch a block's edge are joined with their neighbours
-    over a summary of each block's edge runs.
+    over a summary of each block's edge runs, cut into blocks in the same way.
     """
     rows = df.select(F.col(order).alias("o"), value.alias("v"), F.floor(F.col(order) / block_rows).alias("b"))
     w = Window.partitionBy("b").orderBy("o")
@@ -65,7 +65,21 @@ def run_lengths(df: DataFrame, order: str, value: Column, block_rows: int = 1 <<
     runs = runs.groupBy("b", "r").agg(F.first("v").alias("v"), F.count("*").alias("len"))
     edge = Window.partitionBy("b")
     runs = runs.withColumn("inner", (F.col("r") > 1) & (F.col("r") < F.max("r").over(edge)))
-    edges = Window.orderBy("b", "r")  # two rows for each block at most
-    rest = runs.filter("not inner").withColumn("new", (~F.col("v").eqNullSafe(F.lag("v").over(edges)) | (F.lag("b").over(edges) == F.col("b")) | F.lag("b").over(edges).isNull()).cast("int"))
-    rest = rest.withColumn("g", F.sum("new").over(edges.rowsBetween(Window.unboundedPreceding, 0))).groupBy("g").agg(F.sum("len").alias("len"))
-    return runs.filter("inner").select("len").unionByName(rest.select("len")).groupBy(F.col("len").alias("run_len")).agg(F.count("*").alias("n"))
+    if block_rows <= 2:
+        raise ValueError("a block has more than two rows")
+    # of a block only its edge runs matter further: they are the rows of the next level, until one block holds all
+    done = runs.filter("inner").select("len")
+    rest = runs.filter("not inner").select("b", "r", "v", "len")
+    size = block_rows
+    while True:
+        top = rest.agg(F.max("b")).first()[0]
+        wide = Window.partitionBy("g").orderBy("b", "r")
+        rest = rest.withColumn("g", F.floor(F.col("b") / size))
+        rest = rest.withColumn("new", (~F.col("v").eqNullSafe(F.lag("v").over(wide)) | (F.lag("b").over(wide) == F.col("b")) | (F.row_number().over(wide) == 1)).cast("int"))
+        rest = rest.withColumn("s", F.sum("new").over(wide.rowsBetween(Window.unboundedPreceding, 0)))
+        rest = rest.groupBy("g", "s").agg(F.first("v").alias("v"), F.sum("len").alias("len"))
+        if top is None or top < size:
+            return done.unionByName(rest.select("len")).groupBy(F.col("len").alias("run_len")).agg(F.count("*").alias("n"))
+        rest = rest.withColumn("inner", (F.col("s") > 1) & (F.col("s") < F.max("s").over(Window.partitionBy("g"))))
+        done = done.unionByName(rest.filter("inner").select("len"))
+        rest = rest.filter("not inner").select(F.col("g").alias("b"), F.col("s").alias("r"), "v", "len")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,12 +83,12 @@ def parse_row(line: str | None) -> tuple[list[str], list[str]] | None:
     return [*parts, line[at:]], values
 
 
-def nested_members(token: str | None) -> dict[str, str] | None:
-    """Sub-keys and their value tokens of an object token; None if it is no object."""
+def nested_members(token: str | None) -> list[tuple[str, str]] | None:
+    """(sub-key, value token) of an object token, in order, repeated keys too; None if it is no object."""
     found = scan_members(token) if token else None
     if not found or found[1] != len(token):
         return None
-    return {key[1:-1]: token[begin:end] for key, begin, end in found[0]}
+    return [(key[1:-1], token[begin:end]) for key, begin, end in found[0]]
 
 
 def find_keys(text: str | None) -> list[str]:
@@ -129,14 +130,33 @@ def row_tokens(line: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"template": [a for a, _ in got], "vals": [b for _, b in got]})
 
 
-@F.pandas_udf(T.ArrayType(_struct(k=T.StringType(), v=T.StringType())))
-def object_members(token: pd.Series) -> pd.Series:
-    return pd.Series([None if (d := nested_members(x)) is None else [{"k": k, "v": v} for k, v in d.items()] for x in token], dtype=object)
+@F.pandas_udf(_struct(template=_STRINGS, keys=_STRINGS, vals=_STRINGS))
+def object_parts(token: pd.Series) -> pd.DataFrame:
+    """Template, sub-keys and value tokens of object tokens with a member or more; nulls for all others."""
+    rows = []
+    for x in token:
+        members = nested_members(x)
+        rows.append((parse_row(x)[0], [k for k, _ in members], [v for _, v in members]) if members else (None, None, None))
+    return pd.DataFrame(rows, columns=["template", "keys", "vals"])
+
+
+#: A string, with the colon that makes it a key; it never gives back, so long strings cost one pass.
+STRING = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:[ \t\r\n]*+:)?+'
+
+
+def strings(text: str | Column) -> Column:
+    """All strings of a JSON text in order, those that are keys with their colon."""
+    return F.regexp_extract_all(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(STRING), F.lit(0))
+
+
+def key_of(string: Column) -> Column:
+    """The key that a string of :func:`strings` is, or null."""
+    return F.when(string.endswith(":"), F.regexp_extract(string, r'(?s)^"(.*)"[ \t\r\n]*:$', 1))
 
 
-@F.pandas_udf(_STRINGS)
-def key_list(text: pd.Series) -> pd.Series:
-    return pd.Series([find_keys(x) for x in text], dtype=object)
+def key_list(text: str | Column) -> Column:
+    """Every quoted string that a colon follows, nested ones too."""
+    return F.transform(F.filter(strings(text), lambda t: t.endswith(":")), key_of)
 
 
 @F.pandas_udf(_struct(prefix=T.StringType(), elements=_STRINGS, separators=_STRINGS, suffix=T.StringType()))

@@ -298,7 +298,7 @@ def enum_encode_events(spark, d):
 def enum_decode_events(spark, d):
     e = tab(spark, d, "events").select("event_id", "event_type")
     codes = encode.dictionary(e, "event_type")
-    return encode.dict_decode(encode.dict_encode(e, "event_type", codes).select("event_id", "code"), codes).select("event_id", "value")
+    return encode.dict_decode(encode.dict_encode(e, "event_type", codes).select("event_id", "code", "literal"), codes).select("event_id", "value")
 
 
 _STRINGS = (("customer", ("c_name", "c_mktsegment")), ("part", ("p_name", "p_brand", "p_type")), ("documents", ("text", "lang", "source")))
@@ -364,11 +364,44 @@ def value_dict_encode(spark, d):
     return encode.dict_encode(v, "raw", encode.dictionary(v, "raw", ("col_id",), encode.DICT_CODES), ("col_id",)).select("col_id", "row_id", "code")
 
 
+#: Names with far more values than codes, and some without a value.
+_CLERKS_SQL = "SELECT c_custkey AS row_id, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'c' || (c_custkey % 40) ELSE c_name END AS v FROM customer"
+
+
+def _clerks(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return tab(spark, d, "customer").select(k.alias("row_id"), F.when(k % 7 == 0, None).when(k % 3 == 0, F.concat(F.lit("c"), (k % 40).cast("string"))).otherwise(F.col("c_name")).alias("v"))
+
+
+@query(f"WITH v AS ({_CLERKS_SQL}), k AS (SELECT v, CAST(row_number() OVER (ORDER BY count(*) DESC, v) - 1 AS INTEGER) AS code FROM v WHERE v IS NOT NULL GROUP BY 1) SELECT row_id, CASE WHEN code < 255 THEN code END AS code, CASE WHEN code >= 255 THEN v.v END AS literal FROM v LEFT JOIN k ON v.v = k.v")
+def enum_overflow_encode(spark, d):
+    v = _clerks(spark, d)
+    return encode.dict_encode(v, "v", encode.dictionary(v, "v")).select("row_id", "code", "literal")
+
+
+@query(f"SELECT row_id, v AS value FROM ({_CLERKS_SQL})")
+def enum_overflow_decode(spark, d):
+    v = _clerks(spark, d)
+    codes = encode.dictionary(v, "v")
+    return encode.dict_decode(encode.dict_encode(v, "v", codes).select("row_id", "code", "literal"), codes).select("row_id", "value")
+
+
+@query(f"""WITH v AS ({_STRINGS_SQL}), c AS (SELECT col_id, raw, count(*) AS c, octet_length(encode(raw)) AS b FROM v GROUP BY ALL), p AS (SELECT col_id, CAST(sum(c) AS BIGINT) AS n, count(*) AS k, sum(c * b) + sum(c) - 1 AS cur, 2 * sum(c) + sum(b + 4) AS dict FROM c GROUP BY 1),
+f AS (SELECT col_id FROM p WHERE k <= 253 AND cur > dict + cur // 10), r AS (SELECT col_id, raw, c, row_number() OVER (PARTITION BY col_id ORDER BY c DESC, raw) - 1 AS code FROM c)
+SELECT col_id, CAST(CASE WHEN f.col_id IS NOT NULL THEN code END AS INTEGER) AS code, CAST(sum(c) AS BIGINT) AS n FROM r LEFT JOIN f USING (col_id) GROUP BY 1, 2""")
+def value_dict_applied(spark, d):
+    """Codes of the columns that the decision takes; all others stay literal."""
+    v = _strings(spark, d).select("col_id", "raw")
+    good = encode.dict_decision(v).filter("should_dict").select("col_id")
+    codes = encode.dictionary(v, "raw", ("col_id",), encode.DICT_CODES).join(good, "col_id", "left_semi")
+    return encode.dict_encode(v, "raw", codes, ("col_id",)).groupBy("col_id", "code").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT col_id, row_id, raw AS value FROM ({_NAMES_SQL})")
 def value_dict_decode(spark, d):
     v = _names(spark, d)
     codes = encode.dictionary(v, "raw", ("col_id",), encode.DICT_CODES)
-    coded = encode.dict_encode(v, "raw", codes, ("col_id",)).select("col_id", "row_id", "code")
+    coded = encode.dict_encode(v, "raw", codes, ("col_id",)).select("col_id", "row_id", "code", "literal")
     return encode.dict_decode(coded, codes, ("col_id",)).select("col_id", "row_id", "value")
 
 
@@ -406,10 +439,9 @@ def residual_rows(spark, d):
 
 @query(f"SELECT row_id, md5(line) AS line_md5 FROM ({LINE_SQL})")
 def reassemble_rows(spark, d):
-    rows = reshape.tokenised_rows(event_lines(spark, d))
+    rows = reshape.tokenised_rows(event_lines(spark, d)).persist()  # read four times, tokenised once
     grouped, rest = reshape.split_groups(rows)
-    templates = grouped.groupBy("template_id").agg(F.first("template").alias("template"))
-    return reshape.reassemble(reshape.columns_of(grouped), templates, rest).select("row_id", F.md5(F.col("line").cast("binary")).alias("line_md5"))
+    return reshape.reassemble(reshape.columns_of(grouped), reshape.templates_of(grouped), rest).select("row_id", F.md5(F.col("line").cast("binary")).alias("line_md5"))
 
 
 _PROPS_SQL = """SELECT event_id AS row_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{"k": null, "e": "' || event_type || '"}' WHEN 2 THEN '{"e": "' || event_type || '", "u": ' || user_id || '}' ELSE 'null' END AS j FROM events"""
@@ -426,10 +458,39 @@ def nested_flatten_props(spark, d):
     return reshape.flatten_objects(_props(spark, d), "row_id", "j")
 
 
+def _nested_roundtrip(rows: DataFrame) -> DataFrame:
+    apart = reshape.taken_apart(rows, "j")
+    return reshape.rebuild_objects(reshape.nested_cells(apart), reshape.nested_shells(apart))
+
+
 @query(f"SELECT row_id, j AS rebuilt FROM ({_PROPS_SQL})")
 def nested_unflatten_props(spark, d):
-    p = _props(spark, d)
-    return reshape.unflatten_objects(reshape.flatten_objects(p, "row_id", "j"), reshape.object_templates(p, "row_id", "j"))
+    return _nested_roundtrip(_props(spark, d))
+
+
+#: Tokens that aren't plain objects: repeated keys, nothing inside, other kinds, blanks, cut short, no value at all.
+_ODD = ['{"a": 1, "a": 2}', "{}", "[1]", "null", ' {"a":1}', '{"a":1} ', '{"a": {"a": [1, {"b": "}"}]}, "c":"x\\\\y\\"z"}', '{"a":', '"text"', "", '{"": 0}', '{"b" : -0.0 , "b":1E5}', None]
+_ODD_SQL = "SELECT event_id AS row_id, CASE event_id % 13 " + " ".join(f"WHEN {k} THEN " + ("NULL" if t is None else "'" + t.replace("'", "''") + "'") for k, t in enumerate(_ODD)) + " END AS j FROM events"
+
+
+def _odd(spark: SparkSession, d: str) -> DataFrame:
+    k, j = F.col("event_id") % 13, F.lit(None).cast("string")
+    for n, t in enumerate(_ODD):
+        j = F.when(k == n, F.lit(t)).otherwise(j)
+    return tab(spark, d, "events").select(F.col("event_id").alias("row_id"), j.alias("j"))
+
+
+@query(f"SELECT row_id, j AS rebuilt FROM ({_ODD_SQL})")
+def nested_odd_roundtrip(spark, d):
+    return _nested_roundtrip(_odd(spark, d))
+
+
+_ODD_CELLS = [(0, 0, "a", "1"), (0, 1, "a", "2"), (4, 0, "a", "1"), (6, 0, "a", '{"a": [1, {"b": "}"}]}'), (6, 1, "c", '"x\\\\y\\"z"'), (10, 0, "", "0"), (11, 0, "b", "-0.0"), (11, 1, "b", "1E5")]
+
+
+@query("SELECT event_id AS row_id, pos, sub_key, v.value FROM events JOIN (VALUES " + ", ".join(f"({a}, {b}, '{c}', '{v}')" for a, b, c, v in _ODD_CELLS) + ") v(m, pos, sub_key, value) ON event_id % 13 = m")
+def nested_odd_cells(spark, d):
+    return reshape.nested_cells(reshape.taken_apart(_odd(spark, d), "j"))
 
 
 _ABSENT = [(1, '{"a": 1, "b": null}'), (2, '{"b": 2}'), (3, "null"), (4, '{"a": null}'), (5, '{"a": "null", "b": {"c": 1}}')]
@@ -469,6 +530,80 @@ def array_roundtrip(spark, d):
     return text.select(F.col("doc_id").alias("conv_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+#: The turns as arrays whose elements have two shapes, and one that is unlike all others.
+_CONV2 = """SELECT conv_id, '[' || string_agg(CASE WHEN turn % 3 = 2 THEN '{"turn": ' || turn || ', "n": ' || length(text) || '}' ELSE '{"turn": ' || turn || ', "role": "' || role || '"}' END, ',' ORDER BY turn) || ']' AS j, count(*) AS n, count(*) FILTER (turn % 3 = 2) AS odd FROM conversations GROUP BY conv_id"""
+
+
+def _arrays(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("turn").cast("string")
+    e = F.when(F.col("turn") % 3 == 2, F.concat(F.lit('{"turn": '), t, F.lit(', "n": '), F.length("text").cast("string"), F.lit("}"))).otherwise(F.concat(F.lit('{"turn": '), t, F.lit(', "role": "'), "role", F.lit('"}')))
+    per = tab(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", e.alias("e")))), lambda x: x["e"]), ",").alias("b"))
+    return per.select("conv_id", F.concat(F.lit("["), "b", F.lit("]")).alias("j"))
+
+
+@query(f"SELECT conv_id, n AS rows, CAST(least(odd, 1) + least(n - odd, 1) AS BIGINT) AS templates, CASE WHEN odd = 0 OR odd = n THEN 'uniform' WHEN greatest(odd, n - odd) >= 3 THEN 'grouped' ELSE 'none' END AS strategy FROM ({_CONV2}) WHERE n >= 5")
+def array_strategy(spark, d):
+    rows, _ = reshape.tokenised_elements(_arrays(spark, d), "conv_id", "j")
+    return reshape.strategy(rows, reshape.MIN_ELEMENTS, ("doc_id",)).withColumnRenamed("doc_id", "conv_id")
+
+
+@query(f"""WITH a AS ({_CONV2}), t AS (SELECT c.conv_id, c.turn, role, length(text) AS m, c.turn % 3 = 2 AS o, CASE WHEN c.turn % 3 = 2 THEN odd ELSE n - odd END AS g, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) - 1 AS row_id FROM conversations c JOIN a ON a.conv_id = c.conv_id WHERE n >= 5)
+SELECT conv_id, row_id, CAST(0 AS INTEGER) AS col_id, CAST(turn AS VARCHAR) AS raw FROM t WHERE g >= 3 UNION ALL SELECT conv_id, row_id, CAST(1 AS INTEGER), CASE WHEN o THEN CAST(m AS VARCHAR) ELSE '"' || role || '"' END FROM t WHERE g >= 3""")
+def array_columns(spark, d):
+    rows, _ = reshape.tokenised_elements(_arrays(spark, d), "conv_id", "j")
+    return reshape.array_to_columns(rows)[0].select(F.col("doc_id").alias("conv_id"), F.col("row_id").cast("long").alias("row_id"), "col_id", "raw")
+
+
+@query(f"SELECT conv_id, md5(j) AS text_md5 FROM ({_CONV2}) WHERE n >= 5")
+def array_columns_roundtrip(spark, d):
+    rows, shells = reshape.tokenised_elements(_arrays(spark, d), "conv_id", "j")
+    rows = rows.persist()
+    return reshape.columns_to_array(*reshape.array_to_columns(rows), shells).select(F.col("doc_id").alias("conv_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(" UNION ALL ".join(f"SELECT sha256({' || chr(1) || '.join(chr(39) + p + chr(39) for p in parts)}) AS template_id, count(*) AS rows, CAST({{}} AS INTEGER) AS group_id FROM events WHERE {where} HAVING count(*) >= 5".replace("{}", str(k)) for k, (parts, where) in enumerate(_SHAPES[n] for n in ("full", "some", "few"))))
+def template_order(spark, d):
+    groups = reshape.template_groups(reshape.tokenised_rows(event_lines(spark, d)))
+    return reshape.ordered_groups(groups).select("template_id", "rows", "group_id")
+
+
+@query(f"""WITH l AS ({LINE_SQL}) SELECT row_id, key, value FROM (SELECT row_id, unnest(json_keys(line, '$.props')) AS key, line FROM l WHERE line[1] = '{{' AND list_contains(json_keys(line), 'props')) t, LATERAL (SELECT CAST(json_extract(line, '$.props.' || key) AS VARCHAR) AS value)""")
+def group_flatten_events(spark, d):
+    grouped, _ = reshape.split_groups(reshape.tokenised_rows(event_lines(spark, d)))
+    cells, _, _ = reshape.flatten_group(reshape.columns_of(grouped))
+    return cells.select("row_id", F.col("sub_key").alias("key"), "value")
+
+
+@query(f"SELECT row_id, md5(line) AS line_md5 FROM ({LINE_SQL})")
+def group_unflatten_events(spark, d):
+    rows = reshape.tokenised_rows(event_lines(spark, d)).persist()
+    grouped, rest = reshape.split_groups(rows)
+    back = reshape.unflatten_group(*reshape.flatten_group(reshape.columns_of(grouped)))
+    return reshape.reassemble(back, reshape.templates_of(grouped), rest).select("row_id", F.md5(F.col("line").cast("binary")).alias("line_md5"))
+
+
+_INTERN_SQL = f"""WITH l AS ({LINE_SQL}), o AS (SELECT line FROM l WHERE line[1] = chr(123)), k AS (SELECT unnest(json_keys(line)) AS key FROM o UNION ALL SELECT unnest(json_keys(line, '$.props')) FROM o WHERE list_contains(json_keys(line), 'props')),
+i AS (SELECT key, row_number() OVER (ORDER BY count(*) DESC, key) - 1 AS idx FROM k GROUP BY key HAVING count(*) > 1)
+"""
+_SWAPS = "line"
+for _name in ("event_id", "ts", "user_id", "event_type", "value", "props", "k", "x"):
+    _SWAPS = f"""replace({_SWAPS}, '"{_name}":', chr(1) || (SELECT idx FROM i WHERE key = '{_name}') || chr(2) || ':')"""
+
+
+@query("SELECT row_id, md5(x) AS interned_md5, CAST(octet_length(encode(x)) AS BIGINT) AS bytes FROM (" + _INTERN_SQL + "SELECT row_id, " + _SWAPS + " AS x FROM l)")
+def key_intern_encode(spark, d):
+    lines_ = event_lines(spark, d)
+    out = reshape.intern_keys(lines_, "line", reshape.key_dictionary(lines_, "line"))
+    return out.select("row_id", F.md5(F.col("interned").cast("binary")).alias("interned_md5"), F.octet_length("interned").cast("long").alias("bytes"))
+
+
+@query(f"SELECT row_id, line AS text FROM ({LINE_SQL})")
+def key_intern_decode(spark, d):
+    lines_ = event_lines(spark, d)
+    keys = reshape.key_dictionary(lines_, "line")
+    return reshape.extern_keys(reshape.intern_keys(lines_, "line", keys).select("row_id", "interned"), "interned", keys).select("row_id", "text")
+
+
 # ---- plans and frames
 
 
