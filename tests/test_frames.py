@@ -86,3 +86,71 @@ def test_lossless_guard_and_argmin(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "row_id long, col_id string, raw string")
     assert profile.infer_schema(empty).count() == 0 and encode_blocks(empty).count() == 0
+
+
+def test_frame_files_as_source_and_sink(spark, tmp_path):
+    import weftline
+    from weftline.sources.frame_files import FrameFiles, files_in_order
+
+    spark.dataSource.register(FrameFiles)
+    texts = frames.frame_texts(catalogue.event_lines(spark, SF), 40).select("frame_id", "text")
+    out = str(tmp_path / "out")
+    texts.write.format("weftline").mode("append").save(out)
+    back = spark.read.format("weftline").option("per_task", "3").load(out)
+    assert sorted(r["text"] for r in back.collect()) == sorted(r["text"] for r in texts.collect()) and {r["format"] for r in back.collect()} == {"ndjson"}
+    texts.limit(2).write.format("weftline").mode("overwrite").save(out)
+    assert spark.read.format("weftline").load(out).count() == 2
+    (tmp_path / "b.wft").write_bytes(weftline.compress(b"one") + weftline.compress(b"two"))
+    assert [r["text"] for r in spark.read.format("weftline").load(str(tmp_path / "b.wft")).orderBy("frame_no").collect()] == ["one", "two"]
+    assert [p.rsplit("/", 1)[1] for p in files_in_order(str(tmp_path))] == ["b.wft"]
+
+
+def test_windows_over_blocks_of_blocks(spark):
+    import random
+
+    from weftline.operators import encode, stats
+
+    r = random.Random(1)
+    values = [r.randrange(3) for _ in range(400)] + [7] * 130 + [1, 2]
+    df = spark.createDataFrame(list(enumerate(values)), "k long, v long")
+    summary = df.selectExpr("k b", "v")
+    before = {x["b"]: x["p"] for x in encode.previous(summary, "b", "v", "p", 7).collect()}
+    assert before == {k: values[k - 1] if k else None for k in range(len(values))}
+    sums = {x["b"]: x["s"] for x in encode.sum_before(summary, "b", "v", "s", 7).collect()}
+    assert sums == {k: sum(values[:k]) for k in range(len(values))}
+    from itertools import groupby
+
+    want = sorted(len(list(g)) for _, g in groupby(values))
+    for block in (3, 5, 1000):
+        out = {x["run_len"]: x["n"] for x in stats.run_lengths(df, "k", F.col("v"), block).collect()}
+        assert out == {n: want.count(n) for n in set(want)}, block
+
+
+def test_dictionary_keeps_every_row(spark):
+    from weftline.operators import encode
+
+    df = spark.createDataFrame([(k, None if k % 9 == 0 else f"v{k % 400}") for k in range(1000)], "k long, v string")
+    codes = encode.dictionary(df, "v")
+    coded = encode.dict_encode(df, "v", codes)
+    assert codes.count() == 255 and coded.count() == 1000
+    back = encode.dict_decode(coded.select("k", "code", "literal"), codes)
+    assert sorted((r["k"], r["value"] or "") for r in back.collect()) == sorted((r["k"], r["v"] or "") for r in df.collect())
+
+
+def test_wide_objects_flatten(spark):
+    rows = [(k, "{" + ", ".join(f'"k{k}_{j}": {j}' for j in range(300)) + "}") for k in range(40)]
+    apart = reshape.taken_apart(spark.createDataFrame(rows, "row_id long, j string"), "j")
+    cells = reshape.nested_cells(apart)
+    assert cells.count() == 12000
+    assert sorted(map(tuple, reshape.rebuild_objects(cells, reshape.nested_shells(apart)).collect())) == rows
+
+
+def test_key_list_equals_the_scanner(spark):
+    import random
+
+    from weftline.operators.tokens import find_keys, key_list
+
+    r = random.Random(4)
+    texts = ["".join(r.choice(['"', ":", "\\", "a", " ", "{", "}", ",", "\n", "é"]) for _ in range(r.randint(0, 25))) for _ in range(500)] + ['{"a\\"b" : {"c":"d:"}, "e":1}', '"' + "\\n" * 50000 + '":']
+    out = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").select("k", key_list("t").alias("x")).collect()
+    assert all(x["x"] == find_keys(texts[x["k"]]) for x in out)

@@ -4,9 +4,10 @@ A file is a run of frames. Each has a fixed header, the transform's description
 
     frame := "WFT1" version mode format coder original compressed crc32 meta_size meta payload
 
-NDJSON and JSON arrays of objects are turned to columns: rows are grouped by template, each group's
-columns are encoded by type, rows of small groups and lines that don't parse stay as they are. A
-transform is used only if its inverse gives the input back byte by byte.
+The transform is a chain of steps. NDJSON and JSON arrays of objects are turned to columns: rows are
+grouped by template, each group's columns are encoded by type, rows of small groups and lines that
+don't parse stay as they are. In any JSON, keys that repeat can give way to numbers. A chain is used
+only if its inverse gives the input back byte by byte.
 """
 
 from __future__ import annotations
@@ -15,15 +16,16 @@ import json
 import re
 import struct
 import zlib
+from collections import Counter
 from pathlib import Path
 
 from .functions.codecs import TAGS, decode_tokens, encode_tokens
-from .functions.context_coder import cm_decode, cm_encode
+from .functions.context_coder import SETTINGS, cm_decode, cm_encode
 from .operators.tokens import largest_array, parse_row
 from .sources.frames import candidates, decoded
 
 MAGIC, HEAD = b"WFT1", struct.Struct("<4sBBBBQQII")
-MODES, FORMATS, CODERS = ["fast", "balanced"], ["generic", "json", "ndjson"], ["raw", "zlib", "zstd", "zstd_dict", "cm"]
+MODES, FORMATS, CODERS = ["fast", "balanced", "max"], ["generic", "json", "ndjson"], ["raw", "zlib", "zstd", "zstd_dict", "cm", "zstd_trained"]
 MIN_GROUP = {"ndjson": 5, "json": 3}
 _SPACE = " \t\n\f\r"
 
@@ -81,28 +83,55 @@ def from_columns(data: bytes) -> list[str]:
     return rows
 
 
-def _transform(data: bytes, kind: str) -> tuple[dict, bytes]:
-    """(description, transformed bytes); the description is empty where nothing was done."""
+_STRING = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:[ \t\r\n]*+:)?+', re.S)
+
+
+def _interned(text: str) -> tuple[dict, str] | None:
+    """(step, text with repeated keys as marked numbers); None where there is nothing to gain or a mark is in the text."""
+    if "\x01" in text or "\x02" in text:
+        return None
+    keys = Counter(m[0][1 : m[0].rindex('"')] for m in _STRING.finditer(text) if m[0][-1] == ":")
+    names = [k for k, n in sorted(keys.items(), key=lambda x: (-x[1], x[0])) if n > 1][:65535]
+    if not names:
+        return None
+    number = {k: f"\x01{n}\x02" for n, k in enumerate(names)}
+
+    def swap(m: re.Match) -> str:
+        end = m[0].rindex('"')
+        return number.get(m[0][1:end], m[0][: end + 1]) + m[0][end + 1 :] if m[0][-1] == ":" else m[0]
+
+    return {"x": "keys", "k": names}, _STRING.sub(swap, text)
+
+
+def chains(data: bytes, kind: str) -> list[tuple[list[dict], bytes]]:
+    """(steps, transformed bytes) of the chains that give ``data`` back, the empty one among them."""
+    out: list[tuple[list[dict], bytes]] = [([], data)]
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        return {}, data
+        return out
     if kind == "ndjson":
-        body = to_columns(text.split("\n"), MIN_GROUP[kind])
-        return ({"x": "lines"}, body) if "\n".join(from_columns(body)).encode() == data else ({}, data)
+        out.append(([{"x": "lines"}], to_columns(text.split("\n"), MIN_GROUP[kind])))
     if kind == "json" and (span := largest_array(text)) and len(span[2]) >= 5:
         e = span[2]
         body = to_columns([text[a:b] for a, b in e], MIN_GROUP[kind])
-        meta = {"x": "array", "p": text[: e[0][0]], "s": [text[a[1] : b[0]] for a, b in zip(e, e[1:], strict=False)], "q": text[e[-1][1] :]}
-        return (meta, body) if _inverse(meta, body) == data else ({}, data)
-    return {}, data
-
-
-def _inverse(meta: dict, body: bytes) -> bytes:
-    if meta.get("x") == "lines":
-        return "\n".join(from_columns(body)).encode()
-    if meta.get("x") == "array":
-        return (meta["p"] + "".join(e + s for e, s in zip(from_columns(body), [*meta["s"], ""], strict=True)) + meta["q"]).encode()
+        out.append(([{"x": "array", "p": text[: e[0][0]], "s": [text[a[1] : b[0]] for a, b in zip(e, e[1:], strict=False)], "q": text[e[-1][1] :]}], body))
+    if kind != "generic" and (swapped := _interned(text)):
+        out.append(([swapped[0]], swapped[1].encode()))
+    return [c for c in out if _inverse(*c) == data]
+
+
+def _inverse(chain: list[dict], body: bytes) -> bytes:
+    """Undo the steps of a chain, the last one first."""
+    for step in reversed(chain):
+        if step["x"] == "lines":
+            body = "\n".join(from_columns(body)).encode()
+        elif step["x"] == "array":
+            body = (step["p"] + "".join(e + s for e, s in zip(from_columns(body), [*step["s"], ""], strict=True)) + step["q"]).encode()
+        elif step["x"] == "keys":
+            body = re.sub("\x01([0-9]+)\x02", lambda m: f'"{step["k"][int(m[1])]}"', body.decode()).encode()  # noqa: B023
+        else:
+            raise ValueError(f"unknown step {step['x']}")
     return body
 
 
@@ -116,9 +145,12 @@ def compress(data: bytes, mode: str = "fast", format: str | None = None, level:
         chunks = [b"\n".join(lines[k : k + chunk_rows]) + (b"\n" if k + chunk_rows < len(lines) else b"") for k in range(0, len(lines), chunk_rows)]
         return b"".join(compress(c, mode, kind, level, dictionary) for c in chunks if c)
     tries = []
-    for meta, body in [({}, data)] + [t for t in [_transform(data, kind)] if t[0]]:
-        packed = zlib.compress(json.dumps(meta, separators=(",", ":"), ensure_ascii=False).encode(), 9) if meta else b""
-        every = [("cm", 0, cm_encode(body))] if mode == "balanced" else candidates(body, level, dictionary)
+    for chain, body in chains(data, kind):
+        packed = zlib.compress(json.dumps(chain, separators=(",", ":"), ensure_ascii=False).encode(), 9) if chain else b""
+        if mode == "fast":
+            every = candidates(body, level, dictionary)
+        else:
+            every = [("cm", k, cm_encode(body, k)) for k in range(len(SETTINGS) if mode == "max" else 1)]
         tries += [(len(packed) + len(p), coder, packed, p) for coder, _, p in every]
     _, coder, packed, payload = min(tries, key=lambda x: x[:2])
     head = HEAD.pack(MAGIC, 1, MODES.index(mode), FORMATS.index(kind), CODERS.index(coder), len(data), len(payload), zlib.crc32(data), len(packed))
@@ -140,6 +172,23 @@ def _frames(blob: bytes):
         yield MODES[mode], FORMATS[kind], CODERS[coder], size, compressed, crc, blob[begin : begin + meta], blob[begin + meta : at]
 
 
+def offsets(path: str) -> list[tuple[int, int]]:
+    """(offset, size) of every frame of a file, from the headers alone."""
+    out, at, end = [], 0, Path(path).stat().st_size
+    with open(path, "rb") as f:
+        while at < end:
+            f.seek(at)
+            head = f.read(HEAD.size)
+            if len(head) < HEAD.size:
+                raise ValueError("a frame's header is cut short")
+            magic, version, _, _, _, _, compressed, _, meta = HEAD.unpack(head)
+            if magic != MAGIC or version != 1:
+                raise ValueError("not a frame of this version")
+            out.append((at, HEAD.size + meta + compressed))
+            at += out[-1][1]
+    return out
+
+
 def decompress(blob: bytes, dictionary: bytes | None = None) -> bytes:
     """The bytes of all frames; raises ValueError where a frame is damaged."""
     out = []

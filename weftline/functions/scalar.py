@@ -112,3 +112,13 @@ def improvement(encoded: Column, other: Column) -> Column:
 def zstd_level(n: Column) -> Column:
     """The level for a frame of n bytes: high for small frames, lower for large ones."""
     return F.when(n <= 1 << 20, 19).when(n <= 10 << 20, 13).otherwise(9)
+
+
+def squash(x: Column) -> Column:
+    """The probability of a logit."""
+    return 1 / (1 + F.exp(-x))
+
+
+def stretch(p: Column) -> Column:
+    """The logit of a probability, the inverse of :func:`squash`."""
+    return F.log(p / (1 - p))

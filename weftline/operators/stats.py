@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import stretch
+from .tokens import strings
+
 
 def characters(df: DataFrame, text: str = "text") -> DataFrame:
     """(c, n): every character with its count."""
@@ -26,11 +29,44 @@ def char_grams(df: DataFrame, k: int, text: str = "text") -> DataFrame:
     return at.select(ctx.alias("ctx"), F.get("c", F.col("i") + k).alias("next")).groupBy("ctx", "next").agg(F.count("*").alias("n"))
 
 
-def skip_grams(df: DataFrame, text: str = "text") -> DataFrame:
-    """(c2, next, n): each character with the one two places on."""
-    chars = df.select(F.filter(F.split(text, ""), lambda x: x != "").alias("c")).filter(F.size("c") > 2)
-    at = chars.select("c", F.explode(F.sequence(F.lit(0), F.size("c") - 3)).alias("i"))
-    return at.select(F.get("c", F.col("i")).alias("c2"), F.get("c", F.col("i") + 2).alias("next")).groupBy("c2", "next").agg(F.count("*").alias("n"))
+def skip_grams(df: DataFrame, text: str = "text", back: tuple[int, ...] = (2,)) -> DataFrame:
+    """(c2, next, n): each character with the one two places on; or, for other gaps, those as one context ``c<gaps>``."""
+    widest = max(back)
+    chars = df.select(F.filter(F.split(text, ""), lambda x: x != "").alias("c")).filter(F.size("c") > widest)
+    at = chars.select("c", F.explode(F.sequence(F.lit(widest), F.size("c") - 1)).alias("i"))
+    name = "c" + "".join(map(str, back))
+    ctx = F.concat(*[F.get("c", F.col("i") - k) for k in back]).alias(name)
+    return at.select(ctx, F.get("c", F.col("i")).alias("next")).groupBy(name, "next").agg(F.count("*").alias("n"))
+
+
+def escapes(grams: DataFrame) -> DataFrame:
+    """(contexts, symbols, singletons, total) of (ctx, next, n): what the escape of a back-off model is estimated from."""
+    per = grams.groupBy("ctx").agg(F.count("*").alias("symbols"), F.count(F.when(F.col("n") == 1, 1)).alias("ones"), F.sum("n").alias("total"))
+    return per.agg(F.count("*").alias("contexts"), F.sum("symbols").alias("symbols"), F.sum("ones").alias("singletons"), F.sum("total").alias("total"))
+
+
+def matches(df: DataFrame, length: int, text: str = "text") -> DataFrame:
+    """(distinct, repeated, positions): runs of ``length`` characters, those that occur again, and all their places."""
+    grams = char_grams(df, length - 1, text)
+    return grams.agg(F.count("*").alias("distinct"), F.count(F.when(F.col("n") > 1, 1)).alias("repeated"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("positions"))
+
+
+def calibration(df: DataFrame, context: Column, hit: Column, bins: int = 33) -> DataFrame:
+    """(bin, contexts, n, hits): how often a context's estimate, by bins of its stretch, comes true."""
+    per = df.groupBy(context.alias("ctx")).agg(F.count("*").alias("n"), F.sum(hit.cast("long")).alias("hits"))
+    p = (F.col("hits") + 0.5) / (F.col("n") + 1.0)
+    at = F.least(F.greatest(F.floor((stretch(p) + 8) * (bins - 1) / 16), F.lit(0)), F.lit(bins - 1)).cast("int")
+    return per.groupBy(at.alias("bin")).agg(F.count("*").alias("contexts"), F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+
+
+def json_states(df: DataFrame, text: str) -> DataFrame:
+    """(state, n): characters of JSON texts inside keys, inside other strings, and outside strings."""
+    every = strings(text)
+    within = F.aggregate(F.transform(every, lambda t: F.length(t)), F.lit(0), lambda a, x: a + x)
+    keys = F.aggregate(F.transform(F.filter(every, lambda t: t.endswith(":")), lambda t: F.length(t)), F.lit(0), lambda a, x: a + x)
+    per = df.select(F.length(text).alias("all"), within.alias("within"), keys.alias("keys")).agg(F.sum("all").alias("all"), F.sum("within").alias("within"), F.sum("keys").alias("keys"))
+    cells = F.array(F.struct(F.lit("key").alias("state"), F.col("keys").alias("n")), F.struct(F.lit("string").alias("state"), (F.col("within") - F.col("keys")).alias("n")), F.struct(F.lit("outside").alias("state"), (F.col("all") - F.col("within")).alias("n")))
+    return per.select(F.explode(cells).alias("x")).select("x.state", "x.n")
 
 
 def conditional_entropy(grams: DataFrame) -> DataFrame:

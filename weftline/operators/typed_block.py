@@ -28,6 +28,16 @@ def encode_blocks(long: DataFrame, block_rows: int = 65536, plan: DataFrame | No
     return rows.select("block_id", "col_id", "row_id", "raw", "encoding").groupBy("block_id", "col_id").applyInArrow(run, SCHEMA)
 
 
+def gate(blocks: DataFrame, raw: DataFrame) -> DataFrame:
+    """(block_id, col_id, encoding, n, payload_bytes, use_typed): a block is kept typed if all its columns together are smaller.
+
+    ``raw`` has (block_id, col_id, raw_bytes).
+    """
+    sized = blocks.select("block_id", "col_id", "encoding", "n", F.octet_length("payload").cast("long").alias("payload_bytes")).join(raw, ["block_id", "col_id"])
+    per = sized.groupBy("block_id").agg((F.sum("payload_bytes") < F.sum("raw_bytes")).alias("use_typed"))
+    return sized.join(per, "block_id").select("block_id", "col_id", "encoding", "n", "payload_bytes", "use_typed")
+
+
 def decode_blocks(blocks: DataFrame, block_rows: int = 65536) -> DataFrame:
     """(row_id, col_id, raw) of :func:`encode_blocks`' rows, for dense row numbers."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import encode, planner, profile, reshape, stats
+from ..operators import encode, planner, profile, reshape, stats, typed_block
 from ..session import ship
 from ..sources import frames, lines
 
@@ -674,19 +674,67 @@ def frame_digest(spark, d):
     return frames.frame_texts(event_lines(spark, d), FRAME).select("frame_id", "rows", F.md5(F.col("text").cast("binary")).alias("md5"))
 
 
-@query()
+#: The check sum of a frame of ASCII lines, byte by byte over a table of 256 values made by the polynomial's rule.
+_CRC_SQL = f"""WITH t AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+f AS (SELECT row_id // 10 AS frame_id, string_agg(line, chr(10) ORDER BY row_id) AS text FROM ({LINE_SQL}) GROUP BY 1), b AS (SELECT frame_id, list_transform(string_split(text, ''), lambda c: CAST(ascii(c) AS BIGINT)) AS b FROM f)
+SELECT frame_id, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda a, x: xor(a // 256, tab[xor(a % 256, x) + 1])), 4294967295) AS crc32 FROM b, t"""
+
+
+@query(_CRC_SQL)
 def frame_crc(spark, d):
-    return frames.frame_texts(event_lines(spark, d), FRAME).select("frame_id", F.crc32(F.col("text").cast("binary")).alias("crc32"))
+    return frames.frame_texts(event_lines(spark, d), 10).select("frame_id", F.crc32(F.col("text").cast("binary")).alias("crc32"))
+
+
+def _packed(spark: SparkSession, d: str, **how) -> DataFrame:
+    """(frame_id, rows, original, level, coder, smaller, md5 of what comes back) of the event frames."""
+    packed = frames.compress_frames(frames.frame_texts(event_lines(spark, d), FRAME), **how)
+    back = frames.verified(packed).select("frame_id", F.md5(F.col("text").cast("binary")).alias("md5"))
+    return packed.select("frame_id", "rows", "original", "level", "coder", (F.col("compressed") < F.col("original") / 2).alias("smaller")).join(back, "frame_id")
 
 
-@query()
+_PACKED_SQL = f"SELECT row_id // {FRAME} AS frame_id, count(*) AS rows, CAST(sum(octet_length(encode(line)) + 1) - 1 AS BIGINT) AS original, TRUE AS smaller, md5(string_agg(line, chr(10) ORDER BY row_id)) AS md5 FROM ({LINE_SQL}) GROUP BY 1"
+
+
+@query(f"SELECT *, 'zstd' AS coder, CAST(CASE WHEN original <= 1048576 THEN 19 WHEN original <= 10485760 THEN 13 ELSE 9 END AS INTEGER) AS level FROM ({_PACKED_SQL})")
 def frame_zstd(spark, d):
-    return frames.info(frames.compress_frames(frames.frame_texts(event_lines(spark, d), FRAME), coder="zstd"))
+    return _packed(spark, d, coder="zstd")
 
 
-@query()
+@query(_PACKED_SQL)
 def frame_race(spark, d):
-    return frames.info(frames.compress_frames(frames.frame_texts(event_lines(spark, d), FRAME)))
+    return _packed(spark, d).drop("coder", "level")
+
+
+@query(f"SELECT *, 'zstd_trained' AS coder FROM ({_PACKED_SQL}) WHERE original >= 8192")
+def frame_trained(spark, d):
+    texts = frames.frame_texts(event_lines(spark, d), FRAME).filter(F.octet_length("text") >= frames.TRAINED_BYTES)
+    packed = frames.compress_frames(texts, coder="zstd_trained")
+    back = frames.verified(packed).select("frame_id", F.md5(F.col("text").cast("binary")).alias("md5"))
+    return packed.select("frame_id", "rows", "original", "coder", (F.col("compressed") < F.col("original") / 2).alias("smaller")).join(back, "frame_id")
+
+
+#: Blocks of orders, column by column: the bytes of each encoding, and whether the block as a whole is smaller than its text.
+_BLOCK_SQL = f"""WITH l AS (SELECT row_id // {FRAME} AS block_id, * FROM ({long_sql("orders")})), v AS (SELECT *, CASE WHEN regexp_matches(raw, '{S.INT}') THEN TRY_CAST(raw AS BIGINT) WHEN regexp_matches(raw, '{S.ISO}') THEN epoch_us(CAST(raw[2:length(raw) - 1] AS TIMESTAMP)) END AS x FROM l),
+dl AS (SELECT *, coalesce(x - lag(x) OVER (PARTITION BY col_id, block_id ORDER BY row_id), x) AS delta FROM v),
+c AS (SELECT block_id, col_id, count(*) AS n, sum(octet_length(encode(raw))) AS t, sum(CASE WHEN delta IS NOT NULL THEN {VARINT_SQL} END) AS vi FROM dl GROUP BY 1, 2),
+e AS (SELECT block_id, col_id, sum(b + 4) AS entries FROM (SELECT DISTINCT block_id, col_id, raw, octet_length(encode(raw)) AS b FROM l) GROUP BY 1, 2),
+p AS (SELECT col_id, encoding FROM ({_plan_sql("orders")})),
+z AS (SELECT block_id, col_id, encoding, n, t + n - 1 AS raw_bytes, CASE encoding WHEN 'delta_varint' THEN vi WHEN 'timestamp' THEN vi + 16 WHEN 'enum' THEN 5 + entries + n ELSE 4 + t + n - 1 END AS payload_bytes FROM c JOIN e USING (block_id, col_id) JOIN p USING (col_id))
+SELECT block_id, col_id, encoding, n, CAST(payload_bytes AS BIGINT) AS payload_bytes, sum(payload_bytes) OVER w < sum(raw_bytes) OVER w AS use_typed FROM z WINDOW w AS (PARTITION BY block_id)"""
+
+
+@query(_BLOCK_SQL)
+def typed_block_gate(spark, d):
+    long = long_form(spark, d, "orders")
+    blocks = typed_block.encode_blocks(long, FRAME, planner.encoding_plan(*_costs(spark, d, "orders")))
+    raw = long.groupBy(F.floor(F.col("row_id") / FRAME).alias("block_id"), "col_id").agg((F.sum(S.octets(F.col("raw"))) + F.count("*") - 1).alias("raw_bytes"))
+    return typed_block.gate(blocks, raw)
+
+
+@query(long_sql("orders"))
+def typed_block_decode(spark, d):
+    blocks = typed_block.encode_blocks(long_form(spark, d, "orders"), FRAME, planner.encoding_plan(*_costs(spark, d, "orders")))
+    return typed_block.decode_blocks(blocks, FRAME)
 
 
 @query(f"SELECT DISTINCT row_id // {FRAME} AS frame_id, TRUE AS ok FROM ({LINE_SQL})")
@@ -735,7 +783,7 @@ def _entropy(k: int) -> None:
     query(f"WITH g AS ({_grams_sql(k)}), t AS (SELECT ctx, sum(n) AS m, sum(n * log2(n)) AS s FROM g GROUP BY 1) SELECT {k} AS k, count(*) AS contexts, round((sum(m * log2(m)) - sum(s)) / sum(m), 6) AS entropy FROM t")(f)
 
 
-for _k in range(3):
+for _k in range(5):
     _entropy(_k)
 
 
@@ -764,3 +812,48 @@ def key_conditional_entropy(spark, d):
     g = long_form(spark, d, "events", True).groupBy("col_id", "raw").agg(F.count("*").alias("n"))
     total, own = F.sum("n"), F.sum(F.col("n") * F.log2(F.col("n").cast("double")))
     return g.groupBy("col_id").agg((F.round((total * F.log2(total.cast("double")) - own) / total, 6) + F.lit(0.0)).alias("entropy"))
+
+
+@query("SELECT c[i - 3] || c[i - 1] AS c31, c[i] AS next, count(*) AS n FROM (SELECT c, unnest(range(4, len(c) + 1)) AS i FROM (SELECT list_filter(string_split(text, ''), lambda x: x <> '') AS c FROM documents)) GROUP BY 1, 2")
+def skip_context_pairs(spark, d):
+    return stats.skip_grams(tab(spark, d, "documents"), back=(3, 1))
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS k, count(*) AS contexts, CAST(sum(s) AS BIGINT) AS symbols, CAST(sum(o) AS BIGINT) AS singletons, CAST(sum(t) AS BIGINT) AS total FROM (SELECT count(*) AS s, count(*) FILTER (n = 1) AS o, sum(n) AS t FROM ({_grams_sql(k)}) GROUP BY ctx)" for k in range(4)))
+def backoff_escapes(spark, d):
+    docs, out = tab(spark, d, "documents"), None
+    for k in range(4):
+        one = stats.escapes(stats.char_grams(docs, k)).select(F.lit(k).alias("k"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS length, count(*) AS \"distinct\", count(*) FILTER (n > 1) AS repeated, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS positions FROM ({_grams_sql(k - 1)})" for k in (3, 4, 5)))
+def match_lengths(spark, d):
+    docs, out = tab(spark, d, "documents"), None
+    for k in (3, 4, 5):
+        one = stats.matches(docs, k).select(F.lit(k).alias("length"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("WITH c AS (SELECT user_id, count(*) AS n, CAST(sum((event_type < 'm')::INT) AS BIGINT) AS hits FROM events GROUP BY 1), p AS (SELECT *, (hits + 0.5::DOUBLE) / (n + 1.0::DOUBLE) AS p FROM c) SELECT CAST(least(greatest(floor((ln(p / (1 - p)) + 8) * 32 / 16), 0), 32) AS INTEGER) AS bin, count(*) AS contexts, CAST(sum(n) AS BIGINT) AS n, CAST(sum(hits) AS BIGINT) AS hits FROM p GROUP BY 1")
+def calibration_table(spark, d):
+    return stats.calibration(tab(spark, d, "events"), F.col("user_id"), F.col("event_type") < "m")
+
+
+@query(f"""WITH l AS ({LINE_SQL}), s AS (SELECT length(line) AS a, list_transform(regexp_extract_all(line, '"[^"]*"(:)?'), lambda x: length(x)) AS w, list_transform(regexp_extract_all(line, '"[^"]*":'), lambda x: length(x)) AS k FROM l), t AS (SELECT sum(a) AS a, sum(coalesce(list_sum(w), 0)) AS w, sum(coalesce(list_sum(k), 0)) AS k FROM s)
+SELECT 'key' AS state, CAST(k AS BIGINT) AS n FROM t UNION ALL SELECT 'string', CAST(w - k AS BIGINT) FROM t UNION ALL SELECT 'outside', CAST(a - w AS BIGINT) FROM t""")
+def json_state_counts(spark, d):
+    return stats.json_states(event_lines(spark, d), "line")
+
+
+@query("SELECT event_id, round(1 / (1 + exp(-(value % 10 - 5))), 9) AS p, round(ln((1 / (1 + exp(-(value % 10 - 5)))) / (1 - 1 / (1 + exp(-(value % 10 - 5))))), 6) + 0.0 AS back FROM events")
+def squash_stretch(spark, d):
+    p = S.squash(F.col("value") % 10 - 5)
+    return tab(spark, d, "events").select("event_id", F.round(p, 9).alias("p"), (F.round(S.stretch(p), 6) + F.lit(0.0)).alias("back"))
+
+
+@query("SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', round(b / 1024.0, 1)) ELSE printf('%.1f MB', round(b / 1048576.0, 1)) END AS size FROM (SELECT doc_id, octet_length(encode(text)) * 37 AS b FROM documents)")
+def human_sizes(spark, d):
+    return tab(spark, d, "documents").select("doc_id", S.human_size(F.octet_length("text").cast("long") * 37).alias("size"))

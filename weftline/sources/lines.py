@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def read_documents(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(path, content, size): whole files as bytes, directories flat."""
+    """(path, content, size): whole files as bytes, directories flat, in the order of their paths."""
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select("path", "content", F.col("length").alias("size"))
+    return reader.load(path).select("path", "content", F.col("length").alias("size")).orderBy("path")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
