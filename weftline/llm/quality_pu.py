@@ -178,7 +178,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """id, held_out, score and predicted of every row.
 
     Null and empty texts get the score of no features; repeated rows get equal scores; a null id is
-    never held out; an empty table gives an empty result.
+    never held out; very long texts are described whole; an empty table gives an empty result. Other
+    columns, whatever their names, have no part in a score.
     """
 
     def run(batches):
@@ -192,7 +193,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def accept(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores at least ``threshold``; nothing is shuffled."""
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold``; nothing is shuffled.
+
+    Null and empty texts have the score of no features; repeated rows stay or go together; an empty
+    table gives an empty one.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):

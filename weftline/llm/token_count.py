@@ -99,8 +99,9 @@ _counters: dict[str, Counter] = {}
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_chars and n_bytes of every row's whole text.
 
-    ``vocabulary`` is a sentencepiece file on every executor. Null and empty texts have no tokens;
-    repeated rows stay; an empty table gives an empty result.
+    ``vocabulary`` is a sentencepiece file on every executor. Null and empty texts have no tokens; very
+    long ones are counted whole; null ids and repeated rows are rows like any other; an empty table
+    gives an empty result. Other columns of ``docs`` are ignored, whatever their names.
     """
 
     def run(batches):
