@@ -46,6 +46,15 @@ def varint_len(n: Column) -> Column:
     return out.otherwise(10).cast("int")
 
 
+def varint_hex(n: Column) -> Column:
+    """The zigzag LEB128 bytes of a signed number, in hexadecimal."""
+    z = zigzag(n)
+    part = lambda k: F.shiftrightunsigned(z, 7 * k)
+    byte = lambda k: F.lpad(F.hex(part(k).bitwiseAND(F.lit(127)) + F.when(part(k + 1) != 0, 128).otherwise(0)), 2, "0")
+    last = F.lpad(F.hex(part(9)), 2, "0")
+    return F.concat(byte(0), *[F.when(part(k) != 0, byte(k)).otherwise("") for k in range(1, 9)], F.when(part(9) != 0, last).otherwise(""))
+
+
 def octets(text: Column) -> Column:
     return F.octet_length(text).cast("long")
 

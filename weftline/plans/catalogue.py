@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import encode, planner, profile, reshape, stats, typed_block
-from ..session import ship
+from ..session import scratch, ship
 from ..sources import frames, lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -338,10 +338,25 @@ def quoting_guard(spark, d):
     return encode.quoting(spark.createDataFrame(_QUOTES, "col_id string, raw string"))
 
 
-@query(f"""WITH c AS (SELECT col_id, raw, count(*) AS c, octet_length(encode(raw)) AS b FROM ({_STRINGS_SQL}) GROUP BY ALL), p AS (SELECT col_id, CAST(sum(c) AS BIGINT) AS n, count(*) AS cardinality, CAST(sum(c * b) + sum(c) - 1 AS BIGINT) AS current_size, CAST(2 * sum(c) + sum(b + 4) AS BIGINT) AS dict_total FROM c GROUP BY 1)
+#: Every string column of the tables.
+_EVERY = (*((t, c) for t, cs in _STRINGS for c in cs), ("supplier", "s_name"), ("nation", "n_name"), ("region", "r_name"), ("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("lineitem", "l_returnflag"),
+          ("lineitem", "l_linestatus"), ("events", "event_type"), ("events", "props"), ("pages", "url"), ("pages", "html"), ("benchmark", "text"), ("conversations", "role"), ("conversations", "text"))
+_EVERY_SQL = " UNION ALL ".join(f"SELECT '{t}.{c}' AS col_id, '\"' || {c} || '\"' AS raw FROM {t}" for t, c in _EVERY)
+
+
+def _every_string(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for t in dict.fromkeys(t for t, _ in _EVERY):
+        cells = {f"{t}.{c}": F.concat(F.lit('"'), F.col(c), F.lit('"')) for u, c in _EVERY if u == t}
+        one = profile.unpivot(tab(spark, d, t).withColumn("r", F.lit(0)), "r", cells)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH c AS (SELECT col_id, raw, count(*) AS c, octet_length(encode(raw)) AS b FROM ({_EVERY_SQL}) GROUP BY ALL), p AS (SELECT col_id, CAST(sum(c) AS BIGINT) AS n, count(*) AS cardinality, CAST(sum(c * b) + sum(c) - 1 AS BIGINT) AS current_size, CAST(2 * sum(c) + sum(b + 4) AS BIGINT) AS dict_total FROM c GROUP BY 1)
 SELECT *, cardinality <= 253 AND current_size > dict_total + current_size // 10 AS should_dict FROM p""")
 def value_dict_decision(spark, d):
-    return encode.dict_decision(_strings(spark, d))
+    return encode.dict_decision(_every_string(spark, d))
 
 
 _NAMES = (("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name"), ("part", "p_partkey", "p_type"))
@@ -759,6 +774,97 @@ def bench_report(spark, d):
     return per.select(F.coalesce("file", F.lit("TOTAL")).alias("file"), "original", "encoded", F.round(S.bits_per_byte(e, o), 6).alias("bpb"), F.round(S.improvement(e, o), 6).alias("improvement_pct"))
 
 
+@query(f"SELECT row_id, line FROM ({LINE_SQL})")
+def lines_roundtrip(spark, d):
+    """Lines written as text files and read back with their numbers."""
+    path = scratch(spark, "lines")
+    lines.write_lines(event_lines(spark, d), path)
+    return lines.read_lines(spark, path)
+
+
+@query(f"SELECT CAST(row_id // {FRAME} AS BIGINT) AS frame_id, row_number() OVER (ORDER BY row_id // {FRAME}) - 1 AS place, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS size, md5(string_agg(line || chr(10), '' ORDER BY row_id)) AS md5 FROM ({LINE_SQL}) GROUP BY row_id // {FRAME}")
+def directory_scan(spark, d):
+    """A folder with a file for each frame, read as whole files in the order of their names."""
+    path = scratch(spark, "files")
+    texts = frames.frame_texts(event_lines(spark, d), FRAME).select(F.col("frame_id").cast("long").alias("frame_id"), F.col("text").alias("value"))
+    texts.repartition(4).write.option("lineSep", "\n").partitionBy("frame_id").text(path)
+    files = lines.read_documents(spark, f"{path}/*", "*.txt").withColumn("place", F.monotonically_increasing_id())
+    number = F.regexp_extract("path", "frame_id=([0-9]+)", 1).cast("long")
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.orderBy("frame_id")) - 1  # a row for each file
+    return files.select(number.alias("frame_id"), "size", F.md5("content").alias("md5")).withColumn("place", place)
+
+
+def _frame_files(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.frame_files import FrameFiles
+
+    spark.dataSource.register(FrameFiles)
+    path = scratch(spark, "frames").removeprefix("file://")
+    frames.frame_texts(event_lines(spark, d), FRAME).select("frame_id", "text").write.format("weftline").mode("append").save(path)
+    return spark.read.format("weftline").load(path)
+
+
+@query(f"SELECT md5(string_agg(line, chr(10) ORDER BY row_id)) AS md5, CAST(sum(octet_length(encode(line)) + 1) - 1 AS BIGINT) AS original, 'fast' AS mode, 'ndjson' AS format, TRUE AS smaller FROM ({LINE_SQL}) GROUP BY row_id // {FRAME}")
+def frame_files_roundtrip(spark, d):
+    """Headers and texts of files of frames, written by the sink and read by the source."""
+    return _frame_files(spark, d).select(F.md5(F.col("text").cast("binary")).alias("md5"), "original", "mode", "format", (F.col("compressed") < F.col("original") / 4).alias("smaller"))
+
+
+@query(f"SELECT row_id // {FRAME} AS frame_id, chain, md5(string_agg(line, chr(10) ORDER BY row_id)) AS back_md5 FROM ({LINE_SQL}), (VALUES (''), ('lines'), ('keys')) c(chain) GROUP BY 1, 2")
+def transform_chains(spark, d):
+    out = frames.chained(frames.frame_texts(event_lines(spark, d), FRAME))
+    return out.select("frame_id", "chain", F.md5(F.col("back").cast("binary")).alias("back_md5"))
+
+
+@query(f"SELECT row_id // {FRAME} AS frame_id, 'zstd_dict' AS coder, md5(string_agg(line, chr(10) ORDER BY row_id)) AS md5 FROM ({LINE_SQL}) GROUP BY 1")
+def train_dict_roundtrip(spark, d):
+    """A dictionary trained on a bounded sample, and all frames coded with it."""
+    texts = frames.frame_texts(event_lines(spark, d), FRAME)
+    sample = [r["text"].encode() for r in texts.orderBy("frame_id").limit(2).collect()]
+    known = frames.train_dictionary(sample, 16384)
+    packed = frames.compress_frames(texts, coder="zstd_dict", dictionary=known)
+    back = frames.verified(packed, known).select("frame_id", F.md5(F.col("text").cast("binary")).alias("md5"))
+    return packed.select("frame_id", "coder").join(back, "frame_id")
+
+
+@query(f"SELECT row_id // 10 AS frame_id, TRUE AS smaller, md5(string_agg(line, chr(10) ORDER BY row_id)) AS md5 FROM ({LINE_SQL}) WHERE row_id < 160 GROUP BY 1")
+def frame_balanced(spark, d):
+    """Frames of a few lines by the context-mixing coder, against their length, and what comes back."""
+    texts = frames.frame_texts(event_lines(spark, d).filter("row_id < 160"), 10).repartition(8, "frame_id")
+    packed = texts.select("frame_id", F.octet_length("text").alias("n"), frames.mixed("text").alias("p"))
+    return packed.select("frame_id", (F.octet_length("p") < F.col("n") / 2).alias("smaller"), F.md5(frames.unmixed("p")).alias("md5"))
+
+
+@query(f"SELECT row_id // {FRAME} AS frame_id, count(*) AS rows, md5(string_agg(line, chr(10) ORDER BY row_id)) AS md5 FROM ({LINE_SQL}) GROUP BY 1")
+def stream_frames(spark, d):
+    """Lines read as a stream and written as frames, batch by batch."""
+    from ..streaming.frames import read_line_stream, write_frames
+
+    source, out, state = (scratch(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
+    texts = frames.frame_texts(event_lines(spark, d), FRAME).withColumnRenamed("text", "value")
+    texts.repartition(1).sortWithinPartitions("frame_id").select("value").write.option("lineSep", "\n").text(source)
+    write_frames(read_line_stream(spark, source, 1), out, state, FRAME).awaitTermination()
+    back = frames.verified(spark.read.parquet(out))
+    return back.select("frame_id", "rows", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+@query("""WITH f AS (SELECT event_id // 1000 AS frame_id, event_id, event_id // 1000 % 2 = 1 AS one FROM events), k AS (SELECT frame_id, CASE WHEN event_id = 11 THEN NULL WHEN event_id IN (7, 8, 9) THEN 9 ELSE event_id % 3 END AS shape, event_id FROM f WHERE NOT one OR event_id % 3 = 0),
+g AS (SELECT frame_id, shape, count(*) AS n FROM k WHERE shape IS NOT NULL GROUP BY 1, 2)
+SELECT k.frame_id, any_value(r) AS rows, count(*) AS templates, CASE WHEN count(*) = 1 AND sum(n) = any_value(r) THEN 'uniform' WHEN max(n) >= 5 THEN 'grouped' ELSE 'none' END AS strategy FROM g k JOIN (SELECT frame_id, count(*) AS r FROM k GROUP BY 1) t ON t.frame_id = k.frame_id GROUP BY k.frame_id""")
+def ndjson_strategy(spark, d):
+    """Frames of lines: uniform, grouped or left alone; every second frame has one shape only."""
+    rows = reshape.tokenised_rows(event_lines(spark, d)).withColumn("frame_id", F.floor(F.col("row_id") / FRAME))
+    return reshape.strategy(rows.filter("frame_id % 2 = 0 or row_id % 3 = 0"), keys=("frame_id",))
+
+
+@query("SELECT o_orderkey, hex, CAST(length(hex) // 2 AS BIGINT) AS len FROM (SELECT o_orderkey, " + " || ".join(f"CASE WHEN {k} = 0 OR (z >> {7 * k}) <> 0 THEN printf('%02X', ((z >> {7 * k}) & 127) + CASE WHEN (z >> {7 * k + 7}) <> 0 THEN 128 ELSE 0 END) ELSE '' END" for k in range(9)) + " AS hex FROM (SELECT o_orderkey, CASE WHEN v >= 0 THEN 2 * v ELSE -2 * v - 1 END AS z FROM (SELECT o_orderkey, (o_custkey - 700) * o_orderkey * (CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 99999999 END) AS v FROM orders)))")
+def varint_bytes(spark, d):
+    v = (F.col("o_custkey") - 700) * F.col("o_orderkey") * F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(99999999)
+    rows = tab(spark, d, "orders").select("o_orderkey", S.varint_hex(v).alias("hex"), S.varint_len(v).cast("long").alias("len"))
+    return rows
+
+
 # ---- statistics
 
 CLASS_SQL = "CASE " + " ".join(f"WHEN b <= {u} THEN {k}" for u, k in S.BYTE_CLASSES) + " END"

@@ -9,9 +9,11 @@ from __future__ import annotations
 import struct
 import zlib
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMA = "frame_id long, rows long, coder string, level int, original long, compressed long, crc32 long, payload binary"
 _FIELDS = pa.schema([("frame_id", pa.int64()), ("rows", pa.int64()), ("coder", pa.string()), ("level", pa.int32()), ("original", pa.int64()), ("compressed", pa.int64()), ("crc32", pa.int64()), ("payload", pa.binary())])
@@ -163,3 +165,35 @@ def info(frames: DataFrame) -> DataFrame:
     """The header of every frame, without its payload."""
     ratio = F.when(F.col("compressed") > 0, F.round(F.col("original") / F.col("compressed"), 6)).otherwise(0.0)
     return frames.select("frame_id", "rows", "coder", "level", "original", "compressed", "crc32", ratio.alias("ratio"))
+
+
+def chained(texts: DataFrame, format: str = "ndjson") -> DataFrame:
+    """(frame_id, chain, bytes, back): every chain of steps that a frame can take, with the length of its outcome and the inverse."""
+
+    def run(batches):
+        from ..api import _inverse, chains
+
+        for batch in batches:
+            out = []
+            for frame_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for steps, body in chains((text or "").encode(), format):
+                    out.append((frame_id, ",".join(s["x"] for s in steps), len(body), _inverse(steps, body).decode()))
+            columns = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["frame_id", "chain", "bytes", "back"])
+
+    return texts.select(F.col("frame_id").cast("long"), "text").mapInArrow(run, "frame_id long, chain string, bytes long, back string")
+
+
+@F.pandas_udf(T.BinaryType())
+def mixed(text: pd.Series) -> pd.Series:
+    """Texts by the context-mixing coder; slow, for frames of some KB."""
+    from ..functions.context_coder import cm_encode
+
+    return text.map(lambda t: cm_encode(t.encode()))
+
+
+@F.pandas_udf(T.BinaryType())
+def unmixed(payload: pd.Series) -> pd.Series:
+    from ..functions.context_coder import cm_decode
+
+    return payload.map(cm_decode)
