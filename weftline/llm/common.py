@@ -2,42 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import scratch, shared_folder, ship  # noqa: F401
 
 #: ASCII white space as the contracts of this subpackage define it.
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The URI of a folder that the driver and all executors see.
-
-    It is the cluster's ``spark.checkpoint.dir``. Where that is unset and Spark runs in one
-    process, a temporary folder is made; on a cluster an unset folder is an error, since a
-    machine-local one would lose rows.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/weftline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 #: Spark deletes a query's shuffle files when it ends, if this is set.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

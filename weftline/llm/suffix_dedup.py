@@ -196,15 +196,15 @@ def _refined(length: int):
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (b, part) to rows (w, id, mark, at).
+    """Rows sorted by (b, part) to rows (b, w, id, mark, at).
 
     Without a w: windows of needed anchors that another anchor of the part has too. With a w: an
     identifier of a part that is not alone, and where it is, if only one needed anchor has it.
     """
-    W, ID, MARK, AT = [], [], [], []
+    B, W, ID, MARK, AT = [], [], [], [], []
 
     def settle(group: list[tuple]) -> None:
-        parts = group[0][2]
+        bucket, _, parts = group[0][:3]
         if len(group) < 2 and parts < 2:
             return
         full = [np.frombuffer(r[7], "<u8") for r in group]
@@ -216,19 +216,19 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k += len(own)
             if r[6] and len(hits):
                 for run in np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1):
-                    put(None, r[3], r[4], (r[5] + int(run[0])) << 16 | len(run))
+                    put(bucket, None, r[3], r[4], (r[5] + int(run[0])) << 16 | len(run))
         if parts > 1:
             place = np.searchsorted([b for _, b in owners], at, side="right") - 1
             for w, a, n, p in zip(value.view(np.int64).tolist(), at.tolist(), count.tolist(), place.tolist(), strict=True):
                 r, begin = owners[p]
-                put(w, *((r[3], r[4], (r[5] + a - begin) << 16 | 1) if n == 1 and r[6] else (None, None, None)))
+                put(bucket, w, *((r[3], r[4], (r[5] + a - begin) << 16 | 1) if n == 1 and r[6] else (None, None, None)))
 
-    def put(w: int | None, doc_id: int | None, mark: int | None, at: int | None) -> None:
-        W.append(w), ID.append(doc_id), MARK.append(mark), AT.append(at)
+    def put(b: int, w: int | None, doc_id: int | None, mark: int | None, at: int | None) -> None:
+        B.append(b), W.append(w), ID.append(doc_id), MARK.append(mark), AT.append(at)
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (W, ID, MARK, AT)], names=["w", "id", "mark", "at"])
-        for c in (W, ID, MARK, AT):
+        out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (B, W, ID, MARK, AT)], names=["b", "w", "id", "mark", "at"])
+        for c in (B, W, ID, MARK, AT):
             c.clear()
         return out
 
@@ -270,12 +270,12 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     todo = todo.groupBy("id", "mark").agg(F.collect_list("t").alias("todo"))
     texts = packed(docs, once=True).join(todo, ["id", "mark"]).select("id", "mark", "packed", "todo").dropDuplicates(["id", "mark"])
     run, schema = _refined(length)
-    compared = texts.mapInArrow(run, schema).repartition("b", "part").sortWithinPartitions("b", "part").mapInArrow(_compared, "w long, id long, mark long, at long")
+    compared = texts.mapInArrow(run, schema).repartition("b", "part").sortWithinPartitions("b", "part").mapInArrow(_compared, "b long, w long, id long, mark long, at long")
     compared = written(compared, "compared")
     discard(extents)
     across = compared.filter("w is not null")
-    common = across.groupBy("w").agg(F.count("*").alias("k")).filter("k > 1")
-    late = across.filter("at is not null").join(common, "w", "left_semi")
+    common = across.groupBy("b", "w").agg(F.count("*").alias("k")).filter("k > 1")
+    late = across.filter("at is not null").join(common, ["b", "w"], "left_semi")
     none = F.lit(None).cast("long").alias("n")
     return settled.unionByName(compared.filter("w is null").select("id", "mark", "at", none)).unionByName(late.select("id", "mark", "at", none))
 
