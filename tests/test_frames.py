@@ -154,3 +154,19 @@ def test_key_list_equals_the_scanner(spark):
     texts = ["".join(r.choice(['"', ":", "\\", "a", " ", "{", "}", ",", "\n", "é"]) for _ in range(r.randint(0, 25))) for _ in range(500)] + ['{"a\\"b" : {"c":"d:"}, "e":1}', '"' + "\\n" * 50000 + '":']
     out = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").select("k", key_list("t").alias("x")).collect()
     assert all(x["x"] == find_keys(texts[x["k"]]) for x in out)
+
+
+def test_grams_equal_brute_force(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    from weftline.operators import stats
+
+    monkeypatch.setattr(stats, "PIECE", 50)
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdé日\U0001f600 \n") for _ in range(r.choice([0, 1, 3, 30, 400]))) for _ in range(60)] + [None, "", "".join(chr(200 + k) for k in range(3000))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for back in ((), (1,), (2,), (3, 1), (4, 3, 2, 1), tuple(range(9, 0, -1))):
+        want = Counter(("".join(t[k - b] for b in back), t[k]) for t in texts if t for k in range(max(back, default=0), len(t)))
+        got = {(x["ctx"], x["next"]): x["n"] for x in stats.grams(df, back).collect()}
+        assert got == dict(want), back

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +13,62 @@ from ..functions.scalar import stretch
 from .tokens import strings
 
 
+#: Characters that a task counts at once.
+PIECE = 1 << 20
+
+
+def _counter(back: tuple[int, ...], piece: int):
+    """Texts to counts of (the characters ``back`` places before, the character), each within a text."""
+    widest = max(back, default=0)
+
+    def count(pieces: list[str]) -> pa.RecordBatch:
+        symbols, coded = np.unique(np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
+        size = np.array([len(p) for p in pieces], np.int64)
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        at = np.arange(len(coded)) - np.repeat(begin, size)
+        at = np.flatnonzero(at >= widest)
+        parts, keys, base = [*back, 0], np.zeros(len(at), np.int64), max(1, len(symbols))
+        # as many characters in a number as it holds; further ones are told apart by the numbers met so far
+        room = 1
+        for k in parts:
+            if room > (1 << 62) // base:
+                known, keys = np.unique(keys, return_inverse=True)
+                room = max(1, len(known))
+            keys, room = keys * base + coded[at - k], room * base
+        _, first, n = np.unique(keys, return_index=True, return_counts=True)
+        letters = np.array([chr(c) for c in symbols] or [""], object)
+        chars = [letters[coded[at[first] - k]] for k in parts]
+        ctx = ["".join(x) for x in zip(*chars[:-1], strict=True)] if back else [""] * len(n)
+        return pa.RecordBatch.from_arrays([pa.array(ctx, pa.string()), pa.array(chars[-1], pa.string()), pa.array(n, pa.int64())], names=["ctx", "next", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for k in range(0, len(text or ""), piece):
+                    # a piece begins with the characters that its first contexts need
+                    held.append(text[max(0, k - widest) : k + piece])
+                    n += len(held[-1])
+                    if n >= piece:
+                        yield count(held)
+                        held, n = [], 0
+        if held:
+            yield count(held)
+
+    return run
+
+
+def grams(df: DataFrame, back: tuple[int, ...], text: str = "text") -> DataFrame:
+    """(ctx, next, n): each character with those ``back`` places before it, furthest first, within a text.
+
+    One pass over the texts counts within each task; only distinct grams are exchanged.
+    """
+    return df.select(text).mapInArrow(_counter(back, PIECE), "ctx string, next string, n long").groupBy("ctx", "next").agg(F.sum("n").alias("n"))
+
+
 def characters(df: DataFrame, text: str = "text") -> DataFrame:
     """(c, n): every character with its count."""
-    return df.select(F.explode(F.split(text, "")).alias("c")).filter("c <> ''").groupBy("c").agg(F.count("*").alias("n"))
+    return grams(df, (), text).select(F.col("next").alias("c"), "n")
 
 
 def byte_values(df: DataFrame, text: str = "text") -> DataFrame:
@@ -23,20 +80,12 @@ def byte_values(df: DataFrame, text: str = "text") -> DataFrame:
 
 def char_grams(df: DataFrame, k: int, text: str = "text") -> DataFrame:
     """(ctx, next, n): each run of k characters with the character after it, within a text."""
-    chars = df.select(F.filter(F.split(text, ""), lambda x: x != "").alias("c")).filter(F.size("c") > k)
-    at = chars.select("c", F.explode(F.sequence(F.lit(0), F.size("c") - (k + 1))).alias("i"))
-    ctx = F.concat(*[F.get("c", F.col("i") + j) for j in range(k)]) if k else F.lit("")
-    return at.select(ctx.alias("ctx"), F.get("c", F.col("i") + k).alias("next")).groupBy("ctx", "next").agg(F.count("*").alias("n"))
+    return grams(df, tuple(range(k, 0, -1)), text)
 
 
 def skip_grams(df: DataFrame, text: str = "text", back: tuple[int, ...] = (2,)) -> DataFrame:
-    """(c2, next, n): each character with the one two places on; or, for other gaps, those as one context ``c<gaps>``."""
-    widest = max(back)
-    chars = df.select(F.filter(F.split(text, ""), lambda x: x != "").alias("c")).filter(F.size("c") > widest)
-    at = chars.select("c", F.explode(F.sequence(F.lit(widest), F.size("c") - 1)).alias("i"))
-    name = "c" + "".join(map(str, back))
-    ctx = F.concat(*[F.get("c", F.col("i") - k) for k in back]).alias(name)
-    return at.select(ctx, F.get("c", F.col("i")).alias("next")).groupBy(name, "next").agg(F.count("*").alias("n"))
+    """(c2, next, n): each character with the one two places before; for other gaps the context is named ``c`` and the gaps."""
+    return grams(df, back, text).withColumnRenamed("ctx", "c" + "".join(map(str, back)))
 
 
 def escapes(grams: DataFrame) -> DataFrame:
