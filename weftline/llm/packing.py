@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .token_ids import encoder
 
 #: UTF-8 bytes of text in a bin, about; a bin is one task's group.
@@ -73,7 +74,7 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
 
     def encode(batches):
         ids_of = encoder("byte_level", vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             ids = pa.array([ids_of(t or "") + end for t in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), ids], names=["doc_id", "bin", "ids"])
 

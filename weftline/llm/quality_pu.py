@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 #: Rows that the model is fitted on.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _described(batches):
-    for batch in batches:
+    for batch in slices(batches):
         x = pa.array([features(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), x], names=["kind", "mark", "x"])
 
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x = np.stack([features(t) for t in batch.column(2).to_pylist()]) if batch.num_rows else np.zeros((0, WIDTH))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x), pa.float64())], names=["doc_id", "held_out", "score"])
 
@@ -201,7 +201,7 @@ def accept(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 x = np.stack([features(t) for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array(model.score(x) >= threshold))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, written
+from .common import slices, spread_join, written
 from .components import connected_components
 
 TILE = 1024
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = ["doc_id", "mark", *carry, "fp"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fp = np.array([fingerprint(t, width) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], names=names)
 

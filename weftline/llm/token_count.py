@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 MARK = "▁"
 KEPT = 400_000
 
@@ -108,7 +110,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         if vocabulary not in _counters:
             _counters[vocabulary] = Counter(unigram_vocabulary(vocabulary))
         count = _counters[vocabulary]
-        for batch in batches:
+        for batch in slices(batches):
             n = [count(t or "") for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], names=["doc_id", "n_chars", "n_bytes", "n_tokens"])
 
