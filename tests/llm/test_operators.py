@@ -736,7 +736,7 @@ def test_suffix_dedup_of_hot_passages_and_repeated_rows(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert got(S.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeats(rows, 200)
     keyed = df.selectExpr("coalesce(doc_id, -1) id", "xxhash64(doc_id, text) mark", "doc_id is null none", "cast(text as binary) body")
-    runs = S.repeated_windows(keyed, 200).filter("id = -1").collect()
+    runs = S.repeated_windows(keyed, 200)[0].filter("id = -1").collect()
     assert len(runs) < 100 and max(x["n"] or 0 for x in runs) == 300
 
 

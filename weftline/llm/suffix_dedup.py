@@ -246,8 +246,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
-    """Runs of repeated windows: id, mark, at (first window times 65536 plus their number), n.
+def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Runs of repeated windows: id, mark, at (first window times 65536 plus their number), n; and the tables they are read from.
 
     ``docs`` has id, mark (64 bits that tell the texts of one id apart), none (the id is null) and
     body (bytes). Rows that agree in all four share their runs; n is at least their number, or null.
@@ -261,8 +261,7 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     extents = written(members.groupBy("b", "e").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "at")).alias("one")), "extents")
     settled = spread_join(members, extents.filter("n > 1").select("b", "e", "n"), ["b", "e"], "n", total).filter("n is not null")
     # an anchor of a repeated extent has as many rows here as its text has copies
-    settled = written(settled.groupBy("id", "mark", "at").agg(F.count("*").alias("n")), "settled")
-    discard(members)
+    settled = settled.groupBy("id", "mark", "at").agg(F.count("*").alias("n"))
     mixed = extents.groupBy("b").agg(F.count("*").alias("k")).filter("k > 1")
     todo = spread_join(extents, mixed, ["b"], "k", total).filter("k is not null")
     parts = F.ceil(F.col("k") / REFINED).cast("long")
@@ -272,12 +271,12 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     run, schema = _refined(length)
     compared = texts.mapInArrow(run, schema).repartition("b", "part").sortWithinPartitions("b", "part").mapInArrow(_compared, "b long, w long, id long, mark long, at long")
     compared = written(compared, "compared")
-    discard(extents)
     across = compared.filter("w is not null")
     common = across.groupBy("b", "w").agg(F.count("*").alias("k")).filter("k > 1")
     late = across.filter("at is not null").join(common, ["b", "w"], "left_semi")
     none = F.lit(None).cast("long").alias("n")
-    return settled.unionByName(compared.filter("w is null").select("id", "mark", "at", none)).unionByName(late.select("id", "mark", "at", none))
+    found = settled.unionByName(compared.filter("w is null").select("id", "mark", "at", none)).unionByName(late.select("id", "mark", "at", none))
+    return found, [members, extents, compared]
 
 
 def packed(docs: DataFrame, once: bool = False) -> DataFrame:
@@ -299,8 +298,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     # the hash skips a null id, so that it tells null from the id in its place
     keyed = docs.select(F.coalesce(own, F.lit(-(2**63))).alias("id"), F.xxhash64(own, text_col).alias("mark"), own.isNull().alias("none"), body.alias("body"))
     # a run counts once, however many copies of its row there are
-    runs = repeated_windows(keyed, length).groupBy("id", "mark", "at").agg(F.max("n").alias("n"))
+    found, tables = repeated_windows(keyed, length)
+    runs = found.groupBy("id", "mark", "at").agg(F.max("n").alias("n"))
     runs = written(runs.groupBy("id", "mark").agg(F.collect_list("at").alias("runs"), F.coalesce(F.max("n"), F.lit(1)).alias("n")), "runs")
+    discard(*tables)
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_kept
 
