@@ -144,3 +144,35 @@ def test_similarity_in_large_groups_equals_brute_force(spark, monkeypatch, tile)
     places = components(list(range(len(texts))), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
     assert len({(places[k], got[k]) for k in got}) == len(set(places)) == len(set(got.values())) and len(got) == len(texts)
     assert simhash.similar(docs.limit(0)).count() == 0
+
+
+def test_near_dedup_finds_near_fingerprints_by_pigeonhole(spark, monkeypatch):
+    """With minhashes that never meet, the links within the radius are found all the same, and no others."""
+    import random
+
+    import numpy as np
+
+    from weftline.llm import shingle_near, simhash
+
+    monkeypatch.setattr(shingle_near, "minhashes", lambda own: np.random.default_rng(own).integers(0, 1 << 63, 200, np.uint64))
+    r, texts = random.Random(11), []
+    for _ in range(30):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.choice([80, 200, 400]))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            words[r.randrange(len(words))] = f"v{r.randrange(10**6)}"
+            texts.append(" ".join(words))
+    print_of = lambda t: simhash.majority(shingle_near.shingles(shingle_near.words_of(t)))
+    for _ in range(5):  # near fingerprints of sets below the goal
+        words = [f"w{r.randrange(10**6)}" for _ in range(40)]
+        other = list(words)
+        while other == words or (print_of(" ".join(words)) ^ print_of(" ".join(other))).bit_count() > shingle_near.SLICED:
+            other = [*words[:20], f"v{r.randrange(10**6)}", *words[21:]]
+        texts += [" ".join(words), " ".join(other)]
+    fp = [print_of(t) for t in texts]
+    together = components(list(range(len(texts))), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= shingle_near.SLICED)
+    want = components(list(range(len(texts))), lambda a, b: together[a] == together[b] and jaccard(texts[a], texts[b]) >= 0.8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["root"] for x in simhash.similar(docs).collect()}
+    assert len(set(together)) < len(set(want)) < len(texts) // 2
+    assert len({(want[k], got[k]) for k in got}) == len(set(want)) == len(set(got.values()))

@@ -1,16 +1,21 @@
 """Near-duplicates by word shingles: rows whose shingle sets have a Jaccard similarity of ``least`` or more.
 
-This is the SimHash operator's way to a similarity that no radius of its pigeonhole tables reaches: at
+This is the SimHash operator's way to a similarity that no radius of its pigeonhole tables reaches alone: at
 0.8 two fingerprints differ in 9.7 of 64 bits on average (deviation 2.9), so that a radius would have
-to be about 24, whose blocks of two bits or three select nothing. Candidates therefore meet in
-``BANDS`` tables keyed by ``ROWS`` minhashes each; two sets of similarity s meet in none of them with
-chance (1 - s ** ROWS) ** BANDS: 1.2e-7 at 0.8 and less above. Within a table's bucket fingerprints
-are compared bit-sliced, and every link is checked on the two sets themselves, so nothing below
-``least`` is linked.
+to be about 24, whose blocks of two bits or three select nothing. It therefore takes two steps:
+
+* the operator's own, at the radius ``SLICED``: the fingerprints within it are found bit-sliced in pigeonhole
+  buckets (:func:`.simhash.links`), and each component of theirs is a bucket; what lies within the radius
+  shares one;
+* for pairs beyond it, ``BANDS`` tables keyed by ``ROWS`` minhashes each; two sets of similarity s meet in
+  none of them with chance (1 - s ** ROWS) ** BANDS: 1.2e-7 at 0.8 and less above.
+
+Within a bucket of either kind fingerprints are compared bit-sliced, and every link is checked on the two
+sets themselves, so nothing below ``least`` is linked.
 
 A bucket whose members are in one component already has nothing to add, so the work goes in rounds,
-with components in between: the buckets of a few tables, then those of all, each bucket above ``TILE``
-members in tiles by a hash, and at last all pairs of tiles of the large buckets that are still mixed.
+with components in between: the buckets by fingerprints, those of a few tables, then those of the others, each
+bucket above ``TILE`` members in tiles by a hash, and at last all pairs of tiles of the large buckets that are still mixed.
 A task that holds a group compares what isn't linked yet and sends the links it needs, never pairs.
 
 Rows with equal shingle sets are one node, so copies cost no more than one text.
@@ -27,11 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import discard, slices, spread_join, written
 from .components import connected_components
-from .simhash import majority, within
+from .simhash import links, majority, within
 
 BANDS, ROWS = 40, 5
-#: Tables of the first round.
+#: Tables of the first round by minhashes.
 FIRST = 4
+#: Differing bits up to which fingerprints meet by pigeonhole: eight blocks of eight bits, a table each (more blocks and tables where there are more texts).
+SLICED = 7
 #: Members of a group, about; groups of two tiles have twice as many.
 TILE = 512
 #: Shingle hashes that a task keeps at once, about.
@@ -167,6 +174,16 @@ def _links(members: DataFrame, texts: DataFrame, total: int, least: float, width
     return held.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_settled(least, width), "a long, b long")
 
 
+def _pigeonholed(own: DataFrame, total: int) -> DataFrame:
+    """Members (band -1, k, node): nodes whose fingerprints are joined by steps of at most ``SLICED`` bits have one k."""
+    nodes = own.filter("n > 0").groupBy("node").agg(F.min("fp").alias("fp"))
+    prints = written(nodes.groupBy("fp").agg(F.count("*").alias("copies")), "prints")
+    roots = connected_components(links(prints.select("fp"), SLICED)).withColumnRenamed("node", "fp")
+    named = prints.join(roots, "fp", "left").select("fp", "copies", F.coalesce("root", "fp").alias("root"))
+    found = spread_join(nodes, named, ["fp"], "copies", total)
+    return found.select(F.lit(-1).alias("band"), F.xxhash64(F.lit(-1), "root").alias("k"), "node")
+
+
 def near_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the long columns ``carry`` of ``docs``, and root of every row; rows of one component share the root.
 
@@ -178,21 +195,21 @@ def near_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = "doc_id long, " + "".join(f"{c} long, " for c in carry) + "node long, n int, fp long, keys array<long>, packed binary"
     own = written(rows.mapInArrow(_described(width, carry), schema), "shingles")
     total = own.count()
-    members = own.select(F.posexplode("keys").alias("band", "k"), "node")
+    members = own.select(F.posexplode("keys").alias("band", "k"), "node").unionByName(_pigeonholed(own, total))
     buckets = members.groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("m")).filter("low < high").select("k", "m")
-    shared = spread_join(members, buckets, ["k"], "m", BANDS * total).filter("m is not null").select("band", "k", "node").distinct()
+    shared = spread_join(members, buckets, ["k"], "m", (BANDS + 1) * total).filter("m is not null").select("band", "k", "node").distinct()
     shared = written(shared, "members")
     # one text for each node that any bucket shares; copies combine before the exchange
     texts = own.select("node", "n", "fp", "packed").dropDuplicates(["node"]).join(shared.select("node").distinct(), "node", "left_semi")
     texts = written(texts, "texts")
     large = shared.groupBy("k").count().agg(F.max("count")).first()[0] or 0
     roots, edges = None, None
-    for bands, across in ((FIRST, False), (BANDS, False), (BANDS, True)):
+    for first, end, across in ((-1, 0, False), (0, FIRST, False), (FIRST, BANDS, False), (-1, BANDS, True)):
         if across and large <= TILE:
             break
-        tables = shared.filter(F.col("band") < bands)
+        tables = shared.filter(F.col("band").between(first, end - 1))
         placed = tables.withColumn("root", F.col("node")) if roots is None else tables.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = written(_links(placed.select("k", "node", "root"), texts, BANDS * total, least, width, across), "links")
+        found = written(_links(placed.select("k", "node", "root"), texts, (BANDS + 1) * total, least, width, across), "links")
         if roots is None or not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             roots = connected_components(edges)
