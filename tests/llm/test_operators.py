@@ -724,6 +724,16 @@ def test_repeated_rows_spread_over_bins_and_files(spark, monkeypatch):
     assert out == again
 
 
+def test_manifest_is_one_file(spark, monkeypatch):
+    from weftline.llm import plane_store
+    from weftline.llm.token_ids import vocabulary
+
+    monkeypatch.setattr(plane_store, "SMALL_BYTES", 500)
+    df = spark.createDataFrame([(k, f"some words {k}") for k in range(200)], "doc_id long, text string").repartition(4)
+    files = plane_store.write_token_files(df, vocabulary("word_bpe_49k.json"))
+    assert files.count() > 3 and len(files.inputFiles()) == 1
+
+
 def test_suffix_dedup_of_hot_passages_and_repeated_rows(spark, monkeypatch):
     from weftline.llm import suffix_dedup as S
 

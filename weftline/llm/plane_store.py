@@ -190,7 +190,8 @@ def write_token_files(
     files = max(1, -(-size // FILE_BYTES), min(tasks, -(-size // SMALL_BYTES)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     ordered = rows.repartitionByRange(files, "doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "text")
-    return written(ordered.mapInArrow(write, "part long, uri string, n_docs long, n_ids long"), "manifest")
+    # a row for each file: one task writes them all, as each file that a JVM writes to a local folder costs it a process
+    return written(ordered.mapInArrow(write, "part long, uri string, n_docs long, n_ids long").repartition(1), "manifest")
 
 
 def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
