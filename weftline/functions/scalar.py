@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,34 @@ def varint_hex(n: Column) -> Column:
     return F.concat(byte(0), *[F.when(part(k) != 0, byte(k)).otherwise("") for k in range(1, 9)], F.when(part(9) != 0, last).otherwise(""))
 
 
+#: Groups of seven bits that a whole number of 38 decimal digits can take in zigzag form, and those in a limb of 56 bits.
+WIDE_GROUPS, LIMB = 19, 8
+
+
+def wide_varint_len(n: Column) -> Column:
+    """:func:`varint_len` of a decimal(38, 0), which may be beyond 64 bits."""
+    out = F.when(n.try_cast("bigint").isNotNull(), varint_len(n.try_cast("bigint")))
+    for k in range(10, WIDE_GROUPS):
+        half = 1 << (7 * k - 1)
+        out = out.when(n.between(F.lit(Decimal(-half)), F.lit(Decimal(half - 1))), k)
+    return out.when(n.isNotNull(), WIDE_GROUPS).cast("int")
+
+
+def wide_varint_hex(n: Column) -> Column:
+    """:func:`varint_hex` of a decimal(38, 0) between -4e37 and 4e37, which may be beyond 64 bits."""
+    rest = F.when(n >= 0, n * 2).otherwise(n * -2 - 1).cast("decimal(38,0)")
+    size, limb, limbs = wide_varint_len(n), F.lit(Decimal(1 << (7 * LIMB))), []
+    for _ in range(0, WIDE_GROUPS, LIMB):
+        low = rest % limb
+        limbs.append(low.cast("bigint"))
+        rest = ((rest - low) / limb).cast("decimal(38,0)")
+    part = lambda k: F.shiftrightunsigned(limbs[k // LIMB], 7 * (k % LIMB)).bitwiseAND(F.lit(127))
+    byte = lambda k: F.lpad(F.hex(part(k) + F.when(size > k + 1, 128).otherwise(0)), 2, "0")
+    wide = F.concat(*[F.when(size > k, byte(k)).otherwise("") for k in range(WIDE_GROUPS)])
+    short = n.try_cast("bigint")
+    return F.when(short.isNotNull(), varint_hex(short)).when(n.isNotNull(), wide)
+
+
 def octets(text: Column) -> Column:
     return F.octet_length(text).cast("long")
 

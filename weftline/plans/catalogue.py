@@ -860,9 +860,10 @@ def ndjson_strategy(spark, d):
 
 @query("SELECT o_orderkey, hex, CAST(length(hex) // 2 AS BIGINT) AS len FROM (SELECT o_orderkey, " + " || ".join(f"CASE WHEN {k} = 0 OR (z >> {7 * k}) <> 0 THEN printf('%02X', ((z >> {7 * k}) & 127) + CASE WHEN (z >> {7 * k + 7}) <> 0 THEN 128 ELSE 0 END) ELSE '' END" for k in range(9)) + " AS hex FROM (SELECT o_orderkey, CASE WHEN v >= 0 THEN 2 * v ELSE -2 * v - 1 END AS z FROM (SELECT o_orderkey, (o_custkey - 700) * o_orderkey * (CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 99999999 END) AS v FROM orders)))")
 def varint_bytes(spark, d):
-    v = (F.col("o_custkey") - 700) * F.col("o_orderkey") * F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(99999999)
-    rows = tab(spark, d, "orders").select("o_orderkey", S.varint_hex(v).alias("hex"), S.varint_len(v).cast("long").alias("len"))
-    return rows
+    wide = lambda c: c.cast("decimal(20,0)")  # noqa: E731 - the product leaves 64 bits where keys are large
+    v = wide(F.col("o_custkey") - 700) * wide(F.col("o_orderkey")) * F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(99999999).cast("decimal(20,0)")
+    rows = tab(spark, d, "orders").select("o_orderkey", v.cast("decimal(38,0)").alias("v"))
+    return rows.select("o_orderkey", S.wide_varint_hex(F.col("v")).alias("hex"), S.wide_varint_len(F.col("v")).cast("long").alias("len"))
 
 
 # ---- statistics
