@@ -17,11 +17,16 @@ def read_documents(spark: SparkSession, path: str, pattern: str | None = None) -
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(row_id, line): the lines of text files in order, split at newlines only; blank lines keep their number.
 
-    Numbers are dense: a partition's lines are numbered by Spark's own ids, and each partition's
-    first number comes from a summary with one row for each partition.
+    Numbers are dense and follow the files' names, whatever the order and the tasks in which Spark reads
+    them: a piece of a file is read by one task, line by line, and its first number comes from a summary
+    with one row for each piece.
     """
-    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
-    return dense_rows(raw, "at")
+    raw = spark.read.option("lineSep", "\n").text(path)
+    rows = raw.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("wl_path"), F.col("_metadata.file_block_start").alias("wl_start"), F.monotonically_increasing_id().alias("at"))
+    sizes = rows.groupBy("wl_path", "wl_start").agg(F.count("*").alias("n"), F.min("at").alias("wl_first"))
+    before = F.sum("n").over(Window.orderBy("wl_path", "wl_start").rowsBetween(Window.unboundedPreceding, -1))
+    base = sizes.select("wl_path", "wl_start", (F.coalesce(before, F.lit(0)) - F.col("wl_first")).alias("wl_base"))
+    return rows.join(F.broadcast(base), ["wl_path", "wl_start"]).select((F.col("wl_base") + F.col("at")).alias("row_id"), "line")  # a row for each piece
 
 
 def dense_rows(df: DataFrame, at: str) -> DataFrame:
