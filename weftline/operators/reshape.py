@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spread import dealt, with_groups
 from .tokens import STRING, array_parts, key_list, key_of, object_parts, row_tokens, strings
 
 #: Rows that a template needs to become a group: of lines, and of array elements.
@@ -21,6 +22,7 @@ def template_id(template: Column) -> Column:
 
 def tokenised_rows(lines: DataFrame, line: str = "line") -> DataFrame:
     """Adds template, vals and template_id; all null where a line is no object."""
+    lines = dealt(lines, "row_id") if "row_id" in lines.columns and not lines.isStreaming else lines
     out = lines.withColumn("x", row_tokens(line)).select("*", "x.template", "x.vals").drop("x")
     return out.withColumn("template_id", template_id(F.col("template")))
 
@@ -48,8 +50,9 @@ def strategy(rows: DataFrame, min_rows: int = MIN_ROWS, keys: tuple[str, ...] =
 
 def split_groups(rows: DataFrame, min_rows: int = MIN_ROWS, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(rows of templates with enough rows, residual rows)."""
-    good = template_groups(rows, min_rows, keys).filter("qualifies").select(*keys, "template_id")
-    return rows.join(good, [*keys, "template_id"], "left_semi"), rows.join(good, [*keys, "template_id"], "left_anti")
+    good = template_groups(rows, min_rows, keys).filter("qualifies").select(*keys, "template_id", "rows")
+    both = with_groups(rows, good, [*keys, "template_id"], "rows")
+    return both.filter("wl_in").drop("wl_in"), both.filter("not wl_in").drop("wl_in")
 
 
 def columns_of(grouped: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -65,13 +68,13 @@ def rebuild(template: Column, values: Column) -> Column:
 def reassemble(columns: DataFrame, templates: DataFrame, residual: DataFrame, line: str = "line", keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, row_id, line) from the columns of groups, their templates and the residual lines."""
     values = columns.groupBy(*keys, "template_id", "row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_id", "raw"))), lambda x: x["raw"]).alias("vals"))
-    built = values.join(templates.select("template_id", "template"), "template_id").select(*keys, "row_id", rebuild(F.col("template"), F.col("vals")).alias("line"))
+    built = with_groups(values, templates, ["template_id"], "rows").filter("wl_in").select(*keys, "row_id", rebuild(F.col("template"), F.col("vals")).alias("line"))
     return built.unionByName(residual.select(*keys, "row_id", F.col(line).alias("line")))
 
 
 def templates_of(grouped: DataFrame) -> DataFrame:
-    """(template_id, template), one row for each template."""
-    return grouped.groupBy("template_id").agg(F.first("template").alias("template"))
+    """(template_id, template, rows), one row for each template."""
+    return grouped.groupBy("template_id").agg(F.first("template").alias("template"), F.count("*").alias("rows"))
 
 
 def taken_apart(df: DataFrame, token: str) -> DataFrame:
@@ -118,10 +121,10 @@ def flatten_objects(df: DataFrame, row_id: str, token: str) -> DataFrame:
 
 
 def flattenable(columns: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, template_id, col_id) of the group columns whose tokens are objects or null, with an object among them."""
+    """(keys, template_id, col_id, rows) of the group columns whose tokens are objects or null, with an object among them."""
     begins = F.col("raw").startswith("{")
-    per = columns.groupBy(*keys, "template_id", "col_id").agg(F.bool_and(begins | (F.col("raw") == "null")).alias("every"), F.bool_or(begins).alias("some"))
-    return per.filter("every and some").select(*keys, "template_id", "col_id")
+    per = columns.groupBy(*keys, "template_id", "col_id").agg(F.bool_and(begins | (F.col("raw") == "null")).alias("every"), F.bool_or(begins).alias("some"), F.count("*").alias("rows"))
+    return per.filter("every and some").select(*keys, "template_id", "col_id", "rows")
 
 
 def flatten_group(columns: DataFrame, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -131,11 +134,12 @@ def flatten_group(columns: DataFrame, keys: tuple[str, ...] = ()) -> tuple[DataF
     empty or doesn't come back byte by byte is given up as a whole, and is among the other columns.
     """
     place = [*keys, "template_id", "col_id"]
-    apart = taken_apart(columns.join(flattenable(columns, keys), place, "left_semi"), "raw")
-    good = apart.groupBy(*place).agg(F.bool_and(F.col("parts").isNotNull() | (F.col("raw") == "null")).alias("ok")).filter("ok").select(*place)
-    flat = apart.join(good, place, "left_semi")
+    some = with_groups(columns, flattenable(columns, keys), place, "rows").filter("wl_in").drop("wl_in")
+    apart = taken_apart(some, "raw")
+    good = apart.groupBy(*place).agg(F.bool_and(F.col("parts").isNotNull() | (F.col("raw") == "null")).alias("ok"), F.count("*").alias("rows")).filter("ok").select(*place, "rows")
+    flat = with_groups(apart, good, place, "rows").filter("wl_in").drop("wl_in")
     row = (*place, "row_id")
-    return nested_cells(flat, row), nested_shells(flat, row), columns.join(good, place, "left_anti")
+    return nested_cells(flat, row), nested_shells(flat, row), with_groups(columns, good, place, "rows").filter("not wl_in").drop("wl_in")
 
 
 def unflatten_group(cells: DataFrame, shells: DataFrame, others: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

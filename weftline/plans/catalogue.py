@@ -584,7 +584,7 @@ def template_order(spark, d):
 
 @query(f"""WITH l AS ({LINE_SQL}) SELECT row_id, key, value FROM (SELECT row_id, unnest(json_keys(line, '$.props')) AS key, line FROM l WHERE line[1] = '{{' AND list_contains(json_keys(line), 'props')) t, LATERAL (SELECT CAST(json_extract(line, '$.props.' || key) AS VARCHAR) AS value)""")
 def group_flatten_events(spark, d):
-    grouped, _ = reshape.split_groups(reshape.tokenised_rows(event_lines(spark, d)))
+    grouped, _ = reshape.split_groups(reshape.tokenised_rows(event_lines(spark, d)).persist())
     cells, _, _ = reshape.flatten_group(reshape.columns_of(grouped))
     return cells.select("row_id", F.col("sub_key").alias("key"), "value")
 
