@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -19,6 +20,17 @@ SCHEMA = "frame_id long, rows long, coder string, level int, original long, comp
 _FIELDS = pa.schema([("frame_id", pa.int64()), ("rows", pa.int64()), ("coder", pa.string()), ("level", pa.int32()), ("original", pa.int64()), ("compressed", pa.int64()), ("crc32", pa.int64()), ("payload", pa.binary())])
 
 
+#: Frames that a worker holds as Python objects at a time, texts and payloads.
+HELD = 16
+
+
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut to ``HELD`` frames: small payloads fill a batch with thousands, whose texts are far larger."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, HELD):
+            yield batch.slice(k, HELD)
+
+
 def frame_chunks(lines: DataFrame, rows: int = 1000) -> DataFrame:
     """(frame_id, rows, bytes): frames of ``rows`` lines; bytes count a newline for each line."""
     return lines.groupBy(F.floor(F.col("row_id") / rows).alias("frame_id")).agg(F.count("*").alias("rows"), F.sum(F.octet_length("line").cast("long") + 1).alias("bytes"))
@@ -110,7 +122,7 @@ def compress_frames(texts: DataFrame, level: int | None = None, coder: str | Non
     """Frames of a table (frame_id, rows, text): the smallest candidate of each, ties by coder."""
 
     def run(batches):
-        for batch in batches:
+        for batch in few(batches):
             out = []
             for frame_id, rows, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 body = (text or "").encode()
@@ -126,7 +138,7 @@ def decompress_frames(frames: DataFrame, dictionary: bytes | None = None) -> Dat
     fields = pa.schema([("frame_id", pa.int64()), ("rows", pa.int64()), ("text", pa.string()), ("ok", pa.bool_())])
 
     def run(batches):
-        for batch in batches:
+        for batch in few(batches):
             out = []
             for frame_id, rows, coder, size, crc, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
@@ -173,7 +185,7 @@ def chained(texts: DataFrame, format: str = "ndjson") -> DataFrame:
     def run(batches):
         from ..api import _inverse, chains
 
-        for batch in batches:
+        for batch in few(batches):
             out = []
             for frame_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for steps, body in chains((text or "").encode(), format):
